@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import mixing, packing, quality, scratch, secretscan, sharding, simhash, urlfilter
 
 #: The vocabulary that op2 packs with. Its path is a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -33,9 +34,76 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: (verdict, host, path)
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP5_SQL = """
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), p AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), r(verdict, h, q) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), best AS (
+  SELECT host, path, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) d JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path
+"""
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ledger = scratch.cut(secretscan.update(docs), "ledger")
+    return secretscan.findings(docs, ledger).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "rule_version")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    shards = sharding.write(docs, f"{scratch.folder(spark)}/shards-{uuid.uuid4().hex}")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return shards.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing)}
+    found = (op1_quality_rules, op2_best_fit_packing, op4_simhash, op5_url_filters, op6_secret_scans, op8_sharding, op9_source_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filters": OP5_SQL}
