@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .arrow import slices
+from .shipping import ship
 
 CAPACITY = 4096
 END = 1
@@ -141,6 +142,7 @@ def _tokenized(path: str, capacity: int, with_ids: bool):
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of the documents: doc_id, piece, start, length, ids_crc32, and their ids as little-endian bytes if asked for."""
+    ship(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenized(tokenizer, capacity, with_ids), schema)
 
@@ -238,6 +240,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``pieces`` is read twice and should be a written table.
     """
     spark = pieces.sparkSession
+    ship(spark)
     pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

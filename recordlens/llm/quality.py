@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .shipping import ship
 
 MEASURES = {
     "n_words": pa.int64(),
@@ -122,6 +123,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, the measurements, and fail_bits with a bit for each failed rule."""
+    ship(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES) + ", fail_bits long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_rows, schema)
 

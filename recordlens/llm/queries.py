@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, scratch, secretscan, sharding, simhash, urlfilter
+from . import ann, linededup, mixing, packing, quality, scratch, secretscan, sharding, simhash, urlfilter
 
 #: The vocabulary that op2 packs with. Its path is a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted_lines")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -100,8 +104,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_best_fit_packing, op4_simhash, op5_url_filters, op6_secret_scans, op8_sharding, op9_source_mixing)
+    found = (op1_quality_rules, op2_best_fit_packing, op3_line_dedup, op4_simhash, op5_url_filters, op6_secret_scans, op8_sharding, op9_source_mixing, op10_nearest_vectors)
     return {f.__name__: f for f in found}
 
 

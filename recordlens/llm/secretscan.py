@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .shipping import ship
 
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "github", "slack", "jwt")
@@ -107,6 +108,7 @@ def unseen(docs: DataFrame, version: str, ledger: DataFrame | None = None) -> Da
 
 def update(docs: DataFrame, version: str = "full-1", ledger: DataFrame | None = None) -> DataFrame:
     """The new rows of the ledger: findings for every unseen pair of blob and rule version."""
+    ship(docs.sparkSession)
     return unseen(docs, version, ledger).mapInArrow(_scanned(version), FINDINGS).dropDuplicates(["blob", "rule_version"])
 
 

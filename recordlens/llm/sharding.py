@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
+from .shipping import ship
 
 SHARDS = 16
 SEED = 20240607
@@ -46,6 +47,7 @@ def _shuffled(seed: int):
 
 def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard)."""
+    ship(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
     tie, number = F.xxhash64(F.lit(seed), "doc_id", "text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import components, scratch
 from .arrow import slices
+from .shipping import ship
 
 SHINGLE = 4
 SEED = 42
@@ -75,6 +76,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for each row."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_rows, "doc_id long, fp long")
 
 
