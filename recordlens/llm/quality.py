@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import slices
 from .shipping import ship
@@ -116,7 +117,7 @@ def measure(text: str | None) -> dict[str, int]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         found = [measure(t) for t in part.column(1).to_pylist()]
-        bits = [sum(1 << r.bit for r in RULES if r.fails(m)) for m in found]
+        bits = [fail_bits(m) for m in found]
         columns = [pa.array([m[k] for m in found], kind) for k, kind in MEASURES.items()]
         yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(bits, pa.int64())], names=["doc_id", *MEASURES, "fail_bits"])
 
@@ -128,6 +129,21 @@ def ledger(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_rows, schema)
 
 
+@F.arrow_udf(T.LongType())
+def _fail_bits(text: pa.Array) -> pa.Array:
+    return pa.array([fail_bits(measure(t)) for t in text.to_pylist()], pa.int64())
+
+
+def fail_bits(measures: dict[str, int]) -> int:
+    return sum(1 << r.bit for r in RULES if r.fails(measures))
+
+
+def accepted(docs: DataFrame, policy: str = "production-1") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a policy keeps."""
+    ship(docs.sparkSession)
+    return docs.where(_fail_bits(F.col("text").cast("string")).bitwiseAND(F.lit(mask(policy))) == 0)
+
+
 def judge(rows: DataFrame, policy: str = "production-1") -> DataFrame:
     """The ledger with ``kept`` (no rule of the policy failed) and the policy's name."""
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0).withColumn("policy", F.lit(policy))

@@ -71,13 +71,14 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t) for t in part.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+        prints = pa.array([fingerprint(t) for t in part.column(1).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), prints], names=["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row."""
+    """doc_id, digest (a hash of the text) and fp, the fingerprint as a signed long, for each row."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest")).mapInArrow(_rows, "doc_id long, digest long, fp long")
 
 
 def counts(fp: Column) -> Column:
@@ -128,8 +129,8 @@ def links(fps: DataFrame, largest: int = CELL) -> DataFrame:
     return near.distinct()
 
 
-def near_duplicates(docs: DataFrame, largest: int = CELL) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links), a row for each row of ``docs``.
+def grouped(docs: DataFrame, largest: int = CELL) -> DataFrame:
+    """doc_id, digest, fp and component_id (the smallest doc_id reachable over links), a row for each row of ``docs``.
 
     Fingerprints are computed once, into a written table.
     """
@@ -137,5 +138,23 @@ def near_duplicates(docs: DataFrame, largest: int = CELL) -> DataFrame:
     firsts = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     root = scratch.cut(components.roots(links(firsts.select("fp"), largest)), "roots")
     rooted = firsts.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, largest: int = CELL) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links), a row for each row of ``docs``."""
+    return grouped(docs, largest).select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, largest: int = CELL) -> DataFrame:
+    """The rows of ``docs``, with all their columns, one of each component: that with the smallest doc_id (of several, the smallest hash of the text)."""
+    groups = scratch.cut(grouped(docs, largest).select("doc_id", "digest", "root"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    chosen = scratch.cut(groups.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("c_doc"), F.col("r.digest").alias("c_digest")), "chosen")
+    rows = docs.withColumn("c_digest_here", F.xxhash64("text"))
+    kept = rows.join(chosen.hint("shuffle_hash"), rows["doc_id"].cast("long").eqNullSafe(F.col("c_doc")) & (F.col("c_digest_here") == F.col("c_digest")), "left_semi")
+    twice = groups.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").join(chosen, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("digest") == F.col("c_digest")), "left_semi")
+    if twice.limit(1).count():  # a chosen row occurs more than once
+        kept = kept.dropDuplicates(["doc_id", "c_digest_here"])
+    return kept.drop("c_digest_here")
