@@ -72,9 +72,15 @@ def from_maps(rows: DataFrame, key: str, sobject: str, data: str) -> DataFrame:
     return rows.select(F.col(key).alias("row_id"), F.col(sobject).alias("object"), F.explode(data).alias("field", "value")).withColumn("js_type", F.when(F.col("value").isNotNull(), "string"))
 
 
-def _finding(rows: DataFrame, field: Column, severity: str, kind: str, message: Column, suggestion: Column | None = None) -> DataFrame:
+def _finding(where: Column, field: Column, severity: str, kind: str, message: Column, suggestion: Column | None = None) -> Column:
+    """A finding where a condition holds, else null."""
     suggestion = F.lit(None).cast("string") if suggestion is None else suggestion
-    return rows.select("row_id", field.alias("field"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), message.alias("message"), suggestion.alias("suggestion"))
+    return F.when(where, F.struct(field.alias("field"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), message.alias("message"), suggestion.alias("suggestion")))
+
+
+def _found(rows: DataFrame, *findings: Column) -> DataFrame:
+    """All findings of all rows, from one pass over them."""
+    return rows.select("row_id", F.explode(F.array_compact(F.array(*findings))).alias("f")).select("row_id", "f.*")
 
 
 def _said(template: str, *columns: str) -> Column:
@@ -86,11 +92,11 @@ def objects_allowed(rows: DataFrame, catalog: Catalog, mode: str) -> tuple[DataF
     able = "is_createable" if mode == "create" else "is_updateable"
     objects = catalog["sobjects"].select(F.col("name").alias("object"), F.coalesce(able, F.lit(False)).alias("able"))
     known = rows.join(objects, "object", "left")
-    field = F.lit("__sobject__")
-    missing = _finding(known.where("able IS NULL"), field, "error", "METADATA_NOT_FOUND", _said("Object '%s' not found in metadata. Run metadata sync first.", "object"))
+    field, able = F.lit("__sobject__"), F.col("able")
     word = "createable" if mode == "create" else "updateable"
-    barred = _finding(known.where("NOT able"), field, "error", "CRUD_PERMISSION", _said(f"Object '%s' is not {word}. Check CRUD permissions.", "object"))
-    return known.where("able").select("row_id", "object"), missing.unionByName(barred)
+    missing = _finding(able.isNull(), field, "error", "METADATA_NOT_FOUND", _said("Object '%s' not found in metadata. Run metadata sync first.", "object"))
+    barred = _finding(~able, field, "error", "CRUD_PERMISSION", _said(f"Object '%s' is not {word}. Check CRUD permissions.", "object"))
+    return known.where("able").select("row_id", "object"), _found(known, missing, barred)
 
 
 def required_fields(catalog: Catalog) -> DataFrame:
@@ -103,7 +109,7 @@ def check_required(rows: DataFrame, values: DataFrame, catalog: Catalog) -> Data
     need = rows.join(required_fields(catalog).select(F.col("sobject").alias("object"), F.col("name").alias("field"), "label", F.col("type").alias("declared")), "object")
     given = values.where("value IS NOT NULL AND value <> ''").select("row_id", "object", "field")
     lacking = need.join(given, ["row_id", "object", "field"], "left_anti")
-    return _finding(lacking, F.col("field"), "error", "REQUIRED_FIELD", _said("Required field '%s' is missing or empty.", "label"), _said("Provide a value for %s (%s)", "field", "declared"))
+    return _found(lacking, _finding(F.lit(True), F.col("field"), "error", "REQUIRED_FIELD", _said("Required field '%s' is missing or empty.", "label"), _said("Provide a value for %s (%s)", "field", "declared")))
 
 
 def check_fields(values: DataFrame, catalog: Catalog) -> DataFrame:
@@ -113,33 +119,31 @@ def check_fields(values: DataFrame, catalog: Catalog) -> DataFrame:
     expected = F.create_map(*[F.lit(x) for pair in EXPECTED.items() for x in pair])
     v = v.withColumns({"expects": expected[F.col("declared")], "valid": F.transform("picklist_values", lambda p: p["value"])})
     v = v.withColumns({"digits": F.when(F.col("js_type") == "number", F.length(F.regexp_replace("value", r"\.", ""))), "decimals": F.when(F.col("js_type") == "number", F.length(F.coalesce(F.get(F.split("value", r"\."), F.lit(1)), F.lit(""))))})
-    present, numeric = F.col("known") & F.col("value").isNotNull(), F.col("declared").isin("double", "currency", "percent")
-    f = F.col("field")
-    found = [
-        _finding(v.where("known IS NULL"), f, "warning", "UNKNOWN_FIELD", _said("Field '%s' not found in metadata. It may not exist or you may lack access.", "field")),
-        _finding(v.where(present & (F.col("expects") != F.col("js_type"))), f, "error", "TYPE_MISMATCH", _said("Field '%s' expects type %s but got %s.", "label", "expects", "js_type"), _said("Convert value to %s", "expects")),
-        _finding(v.where(present & (F.col("declared") == "string") & (F.col("js_type") == "string") & (F.length("value") > F.col("length"))).withColumn("n", F.length("value")), f, "error", "LENGTH_EXCEEDED", _said("Field '%s' exceeds maximum length of %d characters (provided: %d).", "label", "length", "n")),
+    given, f, js, declared = F.col("value").isNotNull(), F.col("field"), F.col("js_type"), F.col("declared")
+    size, numeric = F.length("value"), declared.isin("double", "currency", "percent")
+    v = v.withColumn("n", size)
+    return _found(
+        v,
+        _finding(F.col("known").isNull(), f, "warning", "UNKNOWN_FIELD", _said("Field '%s' not found in metadata. It may not exist or you may lack access.", "field")),
+        _finding(given & (F.col("expects") != js), f, "error", "TYPE_MISMATCH", _said("Field '%s' expects type %s but got %s.", "label", "expects", "js_type"), _said("Convert value to %s", "expects")),
+        _finding(given & (declared == "string") & (js == "string") & (size > F.col("length")), f, "error", "LENGTH_EXCEEDED", _said("Field '%s' exceeds maximum length of %d characters (provided: %d).", "label", "length", "n")),
         _finding(
-            v.where(present & (F.col("declared") == "picklist") & F.col("picklist_values").isNotNull() & ~F.array_contains("valid", F.col("value"))),
+            given & (declared == "picklist") & ~F.array_contains("valid", F.col("value")),
             f,
             "error",
             "INVALID_PICKLIST_VALUE",
             _said("Invalid picklist value '%s' for field '%s'.", "value", "label"),
             F.concat(F.lit("Valid values: "), F.array_join(F.slice("valid", 1, 10), ", "), F.when(F.size("valid") > 10, "...").otherwise("")),
         ),
-        _finding(v.where(present & numeric & (F.col("digits") > F.col("precision_val"))), f, "warning", "PRECISION_WARNING", _said("Field '%s' may exceed precision of %d digits.", "label", "precision_val")),
-        _finding(v.where(present & numeric & (F.col("decimals") > F.col("scale"))), f, "warning", "SCALE_WARNING", _said("Field '%s' has %d decimal places but max is %d.", "label", "decimals", "scale"), _said("Round to %d decimal places", "scale")),
-    ]
-    out = found[0]
-    for one in found[1:]:
-        out = out.unionByName(one)
-    return out
+        _finding(given & numeric & (F.col("digits") > F.col("precision_val")), f, "warning", "PRECISION_WARNING", _said("Field '%s' may exceed precision of %d digits.", "label", "precision_val")),
+        _finding(given & numeric & (F.col("decimals") > F.col("scale")), f, "warning", "SCALE_WARNING", _said("Field '%s' has %d decimal places but max is %d.", "label", "decimals", "scale"), _said("Round to %d decimal places", "scale")),
+    )
 
 
 def check_rules(rows: DataFrame, catalog: Catalog) -> DataFrame:
     """A warning where active rules exist; their formulas are not evaluated."""
     active = catalog["validation_rules"].where("active").groupBy(F.col("sobject").alias("object")).agg(F.count("*").alias("n"))
-    return _finding(rows.join(active, "object"), F.lit("__validation_rules__"), "warning", "VALIDATION_RULES_EXIST", _said("This object has %d active validation rule(s) that may prevent save.", "n"))
+    return _found(rows.join(active, "object"), _finding(F.lit(True), F.lit("__validation_rules__"), "warning", "VALIDATION_RULES_EXIST", _said("This object has %d active validation rule(s) that may prevent save.", "n")))
 
 
 def _truthy(values: DataFrame) -> DataFrame:
@@ -151,9 +155,12 @@ def check_relationships(rows: DataFrame, values: DataFrame, catalog: Catalog) ->
     """Required references that are missing (in updates too), and a suggestion for every reference that is given."""
     rels = get_relationships(catalog).where(~F.col("field_name").isin(*SYSTEM_RELATIONSHIPS)).select(F.col("from_sobject").alias("object"), F.col("field_name").alias("field"), "to_sobject", "is_required")
     each = rows.join(rels, "object").join(_truthy(values).select("row_id", "object", "field", "value"), ["row_id", "object", "field"], "left")
-    missing = _finding(each.where("is_required AND value IS NULL"), F.col("field"), "error", "REQUIRED_RELATIONSHIP", _said("Required relationship field '%s' to %s is missing.", "field", "to_sobject"), _said("Create or reference a %s record first", "to_sobject"))
-    given = _finding(each.where("value IS NOT NULL"), F.col("field"), "suggestion", "REFERENCE_CHECK", _said("Ensure %s record with ID '%s' exists.", "to_sobject", "value"))
-    return missing.unionByName(given)
+    given = F.col("value").isNotNull()
+    return _found(
+        each,
+        _finding(F.col("is_required") & ~given, F.col("field"), "error", "REQUIRED_RELATIONSHIP", _said("Required relationship field '%s' to %s is missing.", "field", "to_sobject"), _said("Create or reference a %s record first", "to_sobject")),
+        _finding(given, F.col("field"), "suggestion", "REFERENCE_CHECK", _said("Ensure %s record with ID '%s' exists.", "to_sobject", "value")),
+    )
 
 
 def check_references(values: DataFrame, catalog: Catalog, targets: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -163,7 +170,7 @@ def check_references(values: DataFrame, catalog: Catalog, targets: Mapping[str,
     for name, (df, key) in targets.items():
         here = _truthy(values).join(rels.where(F.col("to_sobject") == name), ["object", "field"])
         lost = here.join(df.select(F.col(key).cast("string").alias("value")).distinct(), "value", "left_anti")
-        one = _finding(lost, F.col("field"), "error", "REFERENCE_NOT_FOUND", _said("No %s record with ID '%s'.", "to_sobject", "value"))
+        one = _found(lost, _finding(F.lit(True), F.col("field"), "error", "REFERENCE_NOT_FOUND", _said("No %s record with ID '%s'.", "to_sobject", "value")))
         out = one if out is None else out.unionByName(one)
     return out
 

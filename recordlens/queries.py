@@ -318,7 +318,7 @@ def standard_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.standard_objects(described).select("name", F.col("rank").cast("long").alias("rank"))
 
 
-@query("WITH m AS (SELECT max(ts) AS t FROM events), s AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id::VARCHAR AS name, epoch_ms(t) - epoch_ms(last) AS age_ms, epoch_ms(t) - epoch_ms(last) > 86400000 AS stale FROM s, m")
+@query("WITH m AS (SELECT max(ts) AS t FROM events), s AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id::VARCHAR AS name, epoch_us(t) // 1000 - epoch_us(last) // 1000 AS age_ms, epoch_us(t) // 1000 - epoch_us(last) // 1000 > 86400000 AS stale FROM s, m")
 def metadata_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     synced = events.groupBy(F.col("user_id").cast("string").alias("name")).agg(F.max("ts").alias("synced_at"))
@@ -383,7 +383,7 @@ UNION ALL SELECT o_orderkey, 'o_custkey', 'error', 'TYPE_MISMATCH', 'Field ''Cus
 UNION ALL SELECT o_orderkey, 'o_orderstatus', 'error', 'TYPE_MISMATCH', 'Field ''Status'' expects type number but got string.' FROM orders
 UNION ALL SELECT o_orderkey, 'o_totalprice', 'warning', 'PRECISION_WARNING', 'Field ''Total'' may exceed precision of 7 digits.' FROM orders WHERE length(replace({_number('o_totalprice')}, '.', '')) > 7
 UNION ALL SELECT o_orderkey, 'o_totalprice', 'warning', 'SCALE_WARNING', 'Field ''Total'' has ' || length(split_part({_number('o_totalprice')}, '.', 2)) || ' decimal places but max is 1.' FROM orders WHERE length(split_part({_number('o_totalprice')}, '.', 2)) > 1
-UNION ALL SELECT o_orderkey, 'o_custkey', 'suggestion', 'REFERENCE_CHECK', 'Ensure customer record with ID ''' || o_custkey || ''' exists.' FROM orders
+UNION ALL SELECT o_orderkey, 'o_custkey', 'suggestion', 'REFERENCE_CHECK', 'Ensure customer record with ID ''' || o_custkey || ''' exists.' FROM orders WHERE o_custkey <> 0
 """
 )
 def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
