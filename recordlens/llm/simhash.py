@@ -117,7 +117,8 @@ def links(fps: DataFrame, largest: int = CELL) -> DataFrame:
     """
     cells = _cells(fps)
     shared = scratch.cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    members = scratch.cut(cells.join(shared, "cell").select("cell", "fp", "n"), "members")
+    # The table of shared cells grows with the corpus: it is never broadcast, however small it is here.
+    members = scratch.cut(cells.join(shared.hint("merge"), "cell").select("cell", "fp", "n"), "members")
     some = members.where(F.col("n") <= largest)
     a, b = some.select("cell", F.col("fp").alias("u")), some.select("cell", F.col("fp").alias("v"))
     differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
