@@ -14,7 +14,8 @@ made. The match is extended both ways, line by line, as far as the texts agree.
 Neighbouring fingerprints of a run are nearer than a gram is long, so grams cover
 its inside. Before the first of them the run has at most ``RUN - GRAM`` words and
 after the last fewer than ``RUN``; extensions go that far, and reach its ends.
-All lines of a later occurrence are then deleted.
+All lines of a later occurrence are then deleted. Only where parts of a run occurred
+first in different documents may lines at the run's ends stay, fewer than ``RUN`` words.
 
 Only DataFrame functions are used. Defined cases: a null text stays null and has
 no lines; lines without words are never matched and stay; lines are compared
