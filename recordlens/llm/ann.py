@@ -156,9 +156,11 @@ def windows(index: DataFrame, size: int, n: int, curves: int = CURVES, window: i
     for one in each[1:]:
         out = out.unionByName(one)
     out = scratch.cut(out, "windows")
-    # Partitions are numbered through all curves; windows are numbered within each.
-    ends = out.groupBy("curve").agg(F.min("window").alias("first"), F.max("window").alias("end"))
-    return out.join(F.broadcast(ends), "curve").withColumns({"window": F.col("window") - F.col("first"), "last": F.col("end") - F.col("first")}).drop("first", "end")
+    # Partitions are numbered through all curves, and there may be more and smaller ones than asked for: neighbours merge until a window is full.
+    by = Window.partitionBy("curve")
+    merged = out.groupBy("curve", "window").agg(F.count("*").alias("n")).withColumn("full", F.floor((F.sum("n").over(by.orderBy("window")) - F.col("n")) / window))
+    merged = merged.withColumn("to", F.dense_rank().over(by.orderBy("full")) - 1).select("curve", "window", "to", F.max("to").over(by).alias("last"))
+    return out.join(merged, ["curve", "window"]).drop("window").withColumnRenamed("to", "window")
 
 
 def nearest(table: DataFrame, queries_at: int = 50, k: int = 5, curves: int = CURVES, window: int = WINDOW, share: float = SHARE, seed: int = SEED) -> DataFrame:
