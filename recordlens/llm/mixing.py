@@ -39,6 +39,10 @@ SHARD = 1024
 SEED = 77
 #: Rows of a source's part whose word places one window sums.
 PART_ROWS = 100_000
+#: Parts of a source at least.
+PARTS = 256
+#: Slots that a task makes, about, once there are more than the usual number of tasks would make.
+TASK_SLOTS = 1_000_000
 #: Slots that one row is expanded into.
 CHUNK = 1024
 #: Sources up to which their table is sent to every executor (under 10 MB); more are joined by shuffle.
@@ -100,13 +104,19 @@ def sources(items: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGH
     return t.withColumn("slots_before", F.sum("slots").over(Window.orderBy("sid")) - F.col("slots")).withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
 
 
+def _tasks(table: DataFrame) -> int:
+    """Over how many tasks slots are made: few rows expand into many, so their number must not follow the size of those rows."""
+    slots = table.agg(F.max("all_slots")).first()[0] or 0
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots // TASK_SLOTS)
+
+
 def draws(table: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """How many blocks each output shard takes from each source: (shard, sid, n).
 
     All slots are dealt over the shards by one permutation, which is the draw without replacement.
     """
     chunks = table.where("slots > 0").select("sid", "slots", "slots_before", "all_slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
-    chunks = chunks.repartition("sid", "chunk")
+    chunks = chunks.repartition(_tasks(table), "sid", "chunk")
     slots = chunks.select("sid", "slots_before", "all_slots", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(chunk * {CHUNK} + {CHUNK - 1}, slots - 1))")).alias("k"))
     place = permuted(F.col("slots_before") + F.col("k"), F.col("all_slots"), F.lit(seed), F.lit("deal"))
     return slots.select("sid", place.alias("place")).withColumn("shard", F.expr(f"place div {shard}")).groupBy("shard", "sid").agg(F.count("*").alias("n"))
@@ -117,7 +127,7 @@ def mixture(table: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     by = Window.partitionBy("sid").orderBy("shard")
     counts = draws(table, shard, seed).withColumn("first", F.sum("n").over(by) - F.col("n"))
     t = table.select("sid", "blocks", "tail", "a_pass", "passes", "rest", "slots")
-    slots = counts.join(t, "sid").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+    slots = counts.join(t, "sid").repartition(_tasks(table), "sid", "shard").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
     slots = slots.withColumn("pass", F.expr("slot div a_pass")).withColumn("at", F.col("slot") % F.col("a_pass"))
     number = F.when(F.col("at") < F.col("blocks"), permuted(F.col("at"), F.greatest("blocks", F.lit(1)), F.lit(seed), F.col("sid"), F.col("pass"))).otherwise(F.col("blocks"))
     full = F.when(F.col("at") < F.col("blocks"), F.lit(block)).otherwise(F.col("tail"))
@@ -127,7 +137,7 @@ def mixture(table: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
 
 def placed(items: DataFrame, table: DataFrame, n_rows: int, n_sources: int) -> DataFrame:
     """The items with sid, source_size, target, and ``place``: where their words begin in their source's stream."""
-    parts = max(16, -(-n_rows // PART_ROWS))
+    parts = max(PARTS, -(-n_rows // PART_ROWS))
     items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)))
     starts = items.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     starts = starts.withColumn("part_place", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size"))
