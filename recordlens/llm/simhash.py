@@ -49,19 +49,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """The fingerprint of one text, as a signed long."""
+def shingles(text: str | None, words: int = SHINGLE) -> list[int]:
+    """The hashes of a text's runs of ``words`` words, in order; a shorter text is one run, one without words has none."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and spaces only
     if not found:
-        return 0
+        return []
     line = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     digest = xxhash.xxh64_intdigest
     if len(found) <= words:
-        hashes = [digest(line, SEED)]
-    else:
-        starts = [0, *ends[:-words].tolist()]
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+        return [digest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = [0, *ends[:-words].tolist()]
+    return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """The fingerprint of one text, as a signed long."""
+    hashes = shingles(text, words)
+    if not hashes:
+        return 0
     codes = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(codes), 1 << 16):
@@ -150,7 +156,12 @@ def near_duplicates(docs: DataFrame, largest: int = CELL) -> DataFrame:
 
 def representatives(docs: DataFrame, largest: int = CELL) -> DataFrame:
     """The rows of ``docs``, with all their columns, one of each component: that with the smallest doc_id (of several, the smallest hash of the text)."""
-    groups = scratch.cut(grouped(docs, largest).select("doc_id", "digest", "root"), "groups")
+    return firsts(docs, grouped(docs, largest))
+
+
+def firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each root in ``groups`` (doc_id, digest, root for each row of ``docs``) the first row, as ``representatives`` says."""
+    groups = scratch.cut(groups.select("doc_id", "digest", "root"), "groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
     chosen = scratch.cut(groups.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("c_doc"), F.col("r.digest").alias("c_digest")), "chosen")
     rows = docs.withColumn("c_digest_here", F.xxhash64("text"))
