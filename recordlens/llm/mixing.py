@@ -26,6 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from . import scratch
 
@@ -179,22 +180,29 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, see
 
     A pass that takes a document whole returns its text as it is; else the words
     that the pass takes, in their order, joined by spaces. ``n_chars`` is made
-    anew where there is such a column. Documents without words are not taken. Of
-    rows equal in doc_id, source and text each takes what the first of them takes.
+    anew where there is such a column. Documents without words are not taken. Rows
+    equal in doc_id, source and text have a place each, and each takes what its own place takes.
     """
     places, table = prepared(docs, block, weights)
     parts = uses(places, mixture(table, block, shard, seed), block).groupBy("sid", "place", "pass").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("parts"))
     passes = places.where("size > 0").join(parts, ["sid", "place"]).select("doc_id", "source", "digest", "place", "size", "n", "parts")
-    by_row = passes.groupBy("doc_id", "source", "digest", "size", "place").agg(F.collect_list(F.struct("n", "parts")).alias("passes"))  # a few
-    by_doc = by_row.groupBy("doc_id", "source", "digest", "size").agg(F.min_by("passes", "place").alias("passes"))
-    return _written(docs, by_doc)
-
-
-def _written(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
+    by_doc = passes.groupBy("doc_id", "source", "digest", "size", "place").agg(F.collect_list(F.struct("n", "parts")).alias("passes"))  # a few
+    same = ["doc_id", "source", "digest"]
+    if not places.where("size > 0").groupBy(*same).count().where("count > 1").limit(1).count():
+        return _written(docs, by_doc.withColumn("nth", F.lit(1)), F.lit(1))
+    numbers = places.where("size > 0").select(*same, "place", F.row_number().over(Window.partitionBy(*same).orderBy("place")).alias("nth"))
+    s = numbers.select(F.col("source").alias("n_source"), F.col("place").alias("n_place"), "nth")
+    by_doc = by_doc.join(s, F.col("source").eqNullSafe(F.col("n_source")) & (F.col("place") == F.col("n_place")))
+    others = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    here = Window.partitionBy(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text")).orderBy(F.xxhash64(*others))
+    return _written(docs, by_doc, F.row_number().over(here))
+
+
+def _written(docs: DataFrame, by_doc: DataFrame, nth: Column) -> DataFrame:
     names = docs.columns
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("digest")).alias("d")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("digest"), nth.alias("nth")).alias("d")
     b = by_doc.alias("b")
-    same = F.col("d.row.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & F.col("d.row.source").cast("string").eqNullSafe(F.col("b.source")) & (F.col("d.digest") == F.col("b.digest"))
+    same = F.col("d.row.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & F.col("d.row.source").cast("string").eqNullSafe(F.col("b.source")) & (F.col("d.digest") == F.col("b.digest")) & (F.col("d.nth") == F.col("b.nth"))
     rows = d.join(b.hint("shuffle_hash"), same).select("row", F.explode("b.passes").alias("taken"), F.col("b.size").alias("size"))
     tokens = F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform("taken.parts", lambda p: F.slice(tokens, (p["start"] + 1).cast("int"), p["n"].cast("int")))), " ")
