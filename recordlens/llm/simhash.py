@@ -3,15 +3,21 @@
 A fingerprint is embedded as the bit counts of its 32 two-bit segments. Two
 fingerprints that differ in at most ``DISTANCE`` bits have counts whose
 Manhattan distance is at most that, so the counts' distance is a lower bound.
-The grid has eight groups of four segments: within distance 4 at least four
-groups have equal counts. A cell is thus the counts of four groups, each
-fingerprint lies in 70 cells, and every link shares a cell. Pairs in a cell are
-tested by the lower bound, then exactly, and only links leave the join.
-
-Cells with more than ``CELL`` distinct fingerprints are never paired. Their
-members take another exact way that is linear in their number: two fingerprints
-are within 4 bits just if some value is within 2 bits of both, so each emits
-the 2,081 values around it and joins the smallest fingerprint met at each.
+The grid cuts the segments into groups: within distance 4 all but four groups at
+most have equal counts. A cell is thus the counts of all groups but four, and every
+link shares a cell. With eight groups a fingerprint lies in 70 cells that carry
+22.6 bits each (a two-bit count carries 1.41: it repeats by chance three times
+out of eight), so a cell holds N / 2^22.6 chance members. With more fingerprints
+than cells there are more groups (``grid``), which keeps that number below one.
+
+Inside a cell no more rows are made than it has members. Every member is first
+tested against the cell's ``PIVOTS`` few pivots, by the lower bound, then exactly; the links
+found connect nearly all. Only members of cells of which several
+components are left are then paired, and only across components. Where such
+a cell still has more than ``CELL`` members, its members are put into finer cells: two fingerprints
+are within 4 bits just if some value is within 2 bits of both, so each is put to
+the 2,081 values around it and linked to the smallest fingerprint there, which is
+exact without a further test and linear in their number.
 
 Defined cases: a null text counts as empty; texts without words have
 fingerprint zero and are linked like any other; fewer than four words are one
@@ -21,6 +27,7 @@ result; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,9 +44,12 @@ from .shipping import ship
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: Groups of segments in the grid, and how many of them a cell fixes.
-GROUPS = 8
-#: Distinct fingerprints up to which a cell's members are compared with each other.
+SEGMENTS = 32
+#: Numbers of groups that the grid may have.
+GROUPS = (8, 10, 12, 16)
+#: What a cell's pivots are nearest to, counted from the highest bit.
+PIVOTS = (0, -1, 0x5A3C96E10F784B2D, 0x2D1E69B4C3A5870F)
+#: Members of a cell up to which those of different components are compared with each other.
 CELL = 512
 
 ODD = 0x5555555555555555
@@ -96,17 +106,33 @@ def counts(fp: Column) -> Column:
     return odd.bitwiseOR(even).bitwiseOR(F.shiftleft(odd.bitwiseAND(even), 1))
 
 
-def _cells(fps: DataFrame) -> DataFrame:
-    """fp, cell: the counts of four groups; the other groups hold 10 in each segment, which no count has."""
-    width = 64 // GROUPS
+def grid(n: int) -> list[tuple[int, int]]:
+    """The groups for ``n`` distinct fingerprints, each as its first segment and the next group's: the fewest whose cells are as many."""
+    for groups in GROUPS:
+        ends = [SEGMENTS * g // groups for g in range(groups + 1)]
+        cuts = list(zip(ends, ends[1:]))
+        fixed = sum(sorted(b - a for a, b in cuts)[: groups - DISTANCE])
+        if 2 ** (math.log2(8 / 3) * fixed) >= n:
+            break
+    return cuts
+
+
+def _cells(fps: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """fp, cell: the counts of all groups but four; those hold 10 in each segment, which no count has."""
     keys = []
-    for chosen in combinations(range(GROUPS), GROUPS - DISTANCE):
-        keep = sum(((1 << width) - 1) << (width * g) for g in chosen)
+    for chosen in combinations(cuts, len(cuts) - DISTANCE):
+        keep = sum(((1 << 2 * (b - a)) - 1) << (2 * a) for a, b in chosen)
         filler = (ODD << 1) & ~keep & (2**64 - 1)
         keys.append(F.col("counts").bitwiseAND(F.lit(_signed(keep))).bitwiseOR(F.lit(_signed(filler))))
     return fps.select("fp", counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.array(*keys)).alias("cell"))
 
 
+def _linked(u: Column, v: Column) -> Column:
+    """Whether two fingerprints are linked: by the lower bound, then exactly."""
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    return (differ(counts(u), counts(v)) <= DISTANCE) & (differ(u, v) <= DISTANCE)
+
+
 def _around(fps: DataFrame, within: int = DISTANCE // 2) -> DataFrame:
     """Links (u, v) among all given fingerprints by the values within 2 bits of them."""
     flips = [_signed(sum(1 << b for b in bits)) for n in range(within + 1) for bits in combinations(range(64), n)]
@@ -115,25 +141,34 @@ def _around(fps: DataFrame, within: int = DISTANCE // 2) -> DataFrame:
     return near.join(least, "value").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
 
 
+def _rest(members: DataFrame, root: DataFrame, largest: int) -> DataFrame:
+    """Links (u, v) between members of a cell that are of different components as yet."""
+    rooted = members.where(F.col("n") > 3).join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("cell", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.cut(rooted, "rooted")
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
+    left = scratch.cut(rooted.join(mixed.hint("merge"), "cell", "left_semi"), "left")
+    some = left.where(F.col("n") <= largest)
+    a, b = some.select("cell", F.col("fp").alias("u"), F.col("root").alias("ru")), some.select("cell", F.col("fp").alias("v"), F.col("root").alias("rv"))
+    near = a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _linked(F.col("u"), F.col("v"))).select("u", "v")
+    many = left.where(F.col("n") > largest).select("fp").distinct()
+    if many.limit(1).count():
+        near = near.unionByName(_around(many))
+    return near.distinct()
+
+
 def links(fps: DataFrame, largest: int = CELL) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints that connect all that are within ``DISTANCE`` bits.
+    """Pairs (u, v) of distinct fingerprints, all of them linked, that connect whatever links connect.
 
-    ``fps`` has distinct ``fp`` and is read several times. From cells of up to
-    ``largest`` members come all links; from larger ones enough to connect the same members.
+    ``fps`` has distinct ``fp`` and is read several times.
     """
-    cells = _cells(fps)
-    shared = scratch.cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    cells = _cells(fps, grid(fps.count()))
+    pivots = [F.min(F.col("fp").bitwiseXOR(F.lit(p))).bitwiseXOR(F.lit(p)) for p in PIVOTS]
+    shared = scratch.cut(cells.groupBy("cell").agg(F.count("*").alias("n"), F.array(*pivots).alias("pivots")).where("n > 1"), "cells")
     # The table of shared cells grows with the corpus: it is never broadcast, however small it is here.
-    members = scratch.cut(cells.join(shared.hint("merge"), "cell").select("cell", "fp", "n"), "members")
-    some = members.where(F.col("n") <= largest)
-    a, b = some.select("cell", F.col("fp").alias("u")), some.select("cell", F.col("fp").alias("v"))
-    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    u, v = F.col("u"), F.col("v")
-    near = a.join(b, "cell").where((u < v) & (differ(counts(u), counts(v)) <= DISTANCE) & (differ(u, v) <= DISTANCE)).select("u", "v")
-    many = members.where(F.col("n") > largest).select("fp").distinct()
-    if many.limit(1).count():
-        near = near.unionByName(_around(many))
-    return near.distinct()
+    members = scratch.cut(cells.join(shared.hint("merge"), "cell").select("cell", "fp", "n", "pivots"), "members")
+    pivot = F.explode(F.filter("pivots", lambda p: (p != F.col("fp")) & _linked(p, F.col("fp"))))
+    near = scratch.cut(members.select("fp", pivot.alias("pivot")).select(F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v")).distinct(), "near")
+    return near.unionByName(_rest(members, components.roots(near), largest))
 
 
 def grouped(docs: DataFrame, largest: int = CELL) -> DataFrame:
@@ -163,10 +198,12 @@ def firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Of each root in ``groups`` (doc_id, digest, root for each row of ``docs``) the first row, as ``representatives`` says."""
     groups = scratch.cut(groups.select("doc_id", "digest", "root"), "groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    chosen = scratch.cut(groups.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("c_doc"), F.col("r.digest").alias("c_digest")), "chosen")
-    rows = docs.withColumn("c_digest_here", F.xxhash64("text"))
-    kept = rows.join(chosen.hint("shuffle_hash"), rows["doc_id"].cast("long").eqNullSafe(F.col("c_doc")) & (F.col("c_digest_here") == F.col("c_digest")), "left_semi")
-    twice = groups.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").join(chosen, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("digest") == F.col("c_digest")), "left_semi")
+    chosen = scratch.cut(groups.groupBy("root").agg(F.min(order).alias("r")).select("r.doc_id", "r.digest"), "chosen")
+    c = chosen.alias("c")
+    same = lambda x: F.col(f"{x}.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"{x}.digest") == F.col("c.digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"))
+    kept = rows.alias("d").join(c.hint("shuffle_hash"), same("d"), "left_semi")
+    twice = groups.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").alias("t").join(c, same("t"), "left_semi")
     if twice.limit(1).count():  # a chosen row occurs more than once
-        kept = kept.dropDuplicates(["doc_id", "c_digest_here"])
-    return kept.drop("c_digest_here")
+        kept = kept.dropDuplicates(["doc_id", "digest"])
+    return kept.select(*[F.col(f"row.`{x}`").alias(x) for x in docs.columns])

@@ -246,6 +246,46 @@ def test_links_connect_what_brute_force_connects(spark, largest):
     assert {p: found.get(p, p) for p in prints} == plain_components(prints)
 
 
+def test_links_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    prints = set()
+    for most in (3, 6, 12):  # dense, loose, and mostly apart
+        middle = rng.getrandbits(64)
+        while len(prints) % 700 or not prints or len(prints) < 700 * {3: 1, 6: 2, 12: 3}[most]:
+            p = middle
+            for _ in range(rng.randint(1, most)):
+                p ^= 1 << rng.randrange(64)
+            prints.add(simhash._signed(p))
+    prints = sorted(prints)
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for largest in (simhash.CELL, 20):
+        links = simhash.links(table, largest).collect()
+        assert all(((u ^ v) & (2**64 - 1)).bit_count() <= 4 for u, v in links)
+        found = dict(map(tuple, components.roots(spark.createDataFrame(links, "u long, v long")).collect()))
+        assert {p: found.get(p, p) for p in prints} == plain_components(prints)
+
+
+def test_links_share_a_cell_in_every_grid():
+    rng = random.Random(3)
+    for n in (10**5, 10**8, 10**9, 10**11):
+        cuts = simhash.grid(n)
+        assert sum(b - a for a, b in cuts) == 32
+        for _ in range(200):
+            p = rng.getrandbits(64)
+            q = p ^ sum(1 << b for b in rng.sample(range(64), 4))
+            count = lambda x: [(x >> 2 * k & 1) + (x >> 2 * k + 1 & 1) for k in range(32)]
+            assert sum(count(p)[a:b] == count(q)[a:b] for a, b in cuts) >= len(cuts) - 4
+    assert [len(simhash.grid(n)) for n in (10**5, 10**7, 10**8, 10**11)] == [8, 10, 12, 16]
+
+
+def test_components_with_hot_nodes(spark):
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(1, 3000)] + [(k, 5000 + k) for k in range(1, 300)] + [(9000 + k, 9001 + k) for k in range(40)]
+    rng.shuffle(edges)
+    found = dict(map(tuple, components.roots(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert all(found[v] == 0 for u, v in edges if v < 9000) and all(found[9001 + k] == 9000 for k in range(40)) and 0 not in found
+
+
 def test_near_duplicates_and_representatives(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     texts = {}
