@@ -51,6 +51,8 @@ GROUPS = (8, 10, 12, 16)
 PIVOTS = (0, -1, 0x5A3C96E10F784B2D, 0x2D1E69B4C3A5870F)
 #: Members of a cell up to which those of different components are compared with each other.
 CELL = 512
+#: Fingerprints that a task puts into their cells, about, once there are more than the usual number of tasks would put.
+TASK_PRINTS = 50_000
 
 ODD = 0x5555555555555555
 
@@ -161,11 +163,14 @@ def links(fps: DataFrame, largest: int = CELL) -> DataFrame:
 
     ``fps`` has distinct ``fp`` and is read several times.
     """
-    cells = _cells(fps, grid(fps.count()))
+    n = fps.count()
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_PRINTS)
+    # One shuffle by cell serves both the count and the join with it.
+    cells = _cells(fps.repartition(tasks, "fp"), grid(n)).repartition("cell")
     pivots = [F.min(F.col("fp").bitwiseXOR(F.lit(p))).bitwiseXOR(F.lit(p)) for p in PIVOTS]
-    shared = scratch.cut(cells.groupBy("cell").agg(F.count("*").alias("n"), F.array(*pivots).alias("pivots")).where("n > 1"), "cells")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.array(*pivots).alias("pivots")).where("n > 1")
     # The table of shared cells grows with the corpus: it is never broadcast, however small it is here.
-    members = scratch.cut(cells.join(shared.hint("merge"), "cell").select("cell", "fp", "n", "pivots"), "members")
+    members = scratch.cut(cells.join(shared.hint("shuffle_hash"), "cell").select("cell", "fp", "n", "pivots"), "members")
     pivot = F.explode(F.filter("pivots", lambda p: (p != F.col("fp")) & _linked(p, F.col("fp"))))
     near = scratch.cut(members.select("fp", pivot.alias("pivot")).select(F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v")).distinct(), "near")
     return near.unionByName(_rest(members, components.roots(near), largest))
