@@ -39,8 +39,10 @@ from .shipping import ship
 
 CAPACITY = 4096
 END = 1
-#: Salts over which the pieces of one length are ranked.
+#: Salts over which the pieces of one length are ranked, at least.
 SALTS = 64
+#: Pieces of one length that a salt ranks, about, once there are more than so many for each.
+RANKED = 500_000
 #: Chunks that a worker's memory of tokenized chunks holds before it starts anew.
 REMEMBERED = 1_000_000
 
@@ -55,8 +57,8 @@ class Chunks(dict):
 
     A vocabulary of lower-cased whole words never joins across white space, so a
     text's ids are those of its chunks in turn; Latin words go straight to the
-    merges, and any other chunk goes through the tokenizer whole. Texts of
-    other kinds of vocabularies are tokenized whole.
+    merges, and any other chunk goes through the tokenizer whole, as does one that
+    holds an added token. Texts of other kinds of vocabularies are tokenized whole.
     """
 
     def __init__(self, path: str):
@@ -64,11 +66,12 @@ class Chunks(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         made = json.loads(self.whole.to_str())
         normal, split = made["normalizer"] or {}, made["pre_tokenizer"] or {}
-        self.by_word = [x["type"] for x in normal.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split.get("pretokenizers", ())] == ["Split", "ByteLevel"] and split["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        self.added = [x["content"] for x in made["added_tokens"]]
+        apart = not any(x[k] for x in made["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(re.search(r"\s", x) for x in self.added)
+        self.by_word = apart and [x["type"] for x in normal.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split.get("pretokenizers", ())] == ["Split", "ByteLevel"] and split["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
         self.words: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -88,7 +91,9 @@ class Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         low = chunk.lower()
-        if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
+        if any(x in chunk for x in self.added):
+            got = self.encode(chunk)
+        elif low.isalpha() and (low.isascii() or max(low) < "\u0250"):
             got = self.word(low)
         elif low.isprintable() and (low.isascii() or max(low) < "\u0250"):
             got = b"".join(map(self.word, WORDS.findall(low)))
@@ -237,16 +242,17 @@ def _placed(runs: list[tuple[int, int, int, int, int]]):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset, gapless from 0 within a sequence.
 
-    ``pieces`` is read twice and should be a written table.
+    ``pieces`` is read three times and should be a written table.
     """
     spark = pieces.sparkSession
     ship(spark)
     pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    salts = max(SALTS, max(totals.values(), default=0) // RANKED)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     by_length = Window.partitionBy("length").orderBy("salt")
     starts = counts.withColumn("before", F.sum("n").over(by_length) - F.col("n"))
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         salted.withColumn("rank_here", F.row_number().over(within) - 1)
