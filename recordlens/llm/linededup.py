@@ -8,14 +8,16 @@ holds the whole window of its first line, so its occurrences share a selected
 fingerprint; no selected gram has fewer than ``GRAM`` words, so nothing
 shorter is matched.
 
-Every selected gram is joined with its first occurrence only (the smallest
-doc_id, then position), found by a pre-aggregated minimum: no pairs of a group are
-made. The match is extended both ways, line by line, as far as the texts agree.
-Neighbouring fingerprints of a run are nearer than a gram is long, so grams cover
-its inside. Before the first of them the run has at most ``RUN - GRAM`` words and
+Every selected gram that occurs more than once gets a key for itself, one for
+itself with each number of lines after it, and one with each number of lines
+before it. The first occurrence of a key (the smallest doc_id, then position) is a
+pre-aggregated minimum: no pairs of a group are made. A line is repeated if the key
+that ends with it occurred before, wherever that was, so a run is matched both ways as far as any
+earlier text agrees with it, even if different parts of it occurred first in
+different documents. Neighbouring fingerprints of a run are nearer than a gram is
+long, so grams cover its inside. Before the first of them the run has at most ``RUN - GRAM`` words and
 after the last fewer than ``RUN``; extensions go that far, and reach its ends.
-All lines of a later occurrence are then deleted. Only where parts of a run occurred
-first in different documents may lines at the run's ends stay, fewer than ``RUN`` words.
+All lines of a later occurrence are then deleted.
 
 Only DataFrame functions are used. Defined cases: a null text stays null and has
 no lines; lines without words are never matched and stay; lines are compared
@@ -78,46 +80,49 @@ def fingerprints(each: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame
     return each.where(F.col("g") == F.col("chosen")).select("a", "b", "doc_id", F.col("line").alias("at"), "g", F.transform("own", lambda x: x["line"]).alias("own"), "before", F.col("next").alias("after"))
 
 
-def _agreeing(x: Column, y: Column) -> Column:
-    """How many first elements of two arrays of (line, h) have equal hashes."""
-    same = F.zip_with(x, y, lambda p, q: F.coalesce(p["h"] == q["h"], F.lit(False)))
-    # At the first difference the count n turns into -1 - n and stays.
-    count = F.aggregate(same, F.lit(0), lambda n, eq: F.when(n < 0, n).when(eq, n + 1).otherwise(-1 - n))
-    return F.when(count < 0, -1 - count).otherwise(count)
+def _extended(items: Column, side: str) -> Column:
+    """Of lines (line, h) next to a gram, nearest first: a key (and its last line) for every number of them."""
+    hashes = F.transform(items, lambda x: x["h"])
+    return F.transform(items, lambda x, k: F.struct(F.xxhash64("g", F.lit(side), F.slice(hashes, 1, k + 1)).alias("key"), F.array(x["line"]).alias("lines")))
 
 
 def repeats(grams: DataFrame) -> DataFrame:
     """a, b and the numbers of the lines to delete, of every document that repeats what came before. ``grams`` is read twice."""
+    often = grams.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "a", "b", "at")
-    firsts = grams.select("g", F.struct(place.alias("place"), "before", "after").alias("occurrence")).groupBy("g").agg(F.min("occurrence").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1").select("g", "first")
-    later = grams.withColumn("place", place).join(firsts, "g").where(F.col("place") != F.col("first.place"))
-    back = F.slice(F.reverse("before"), F.lit(1), _agreeing(F.reverse("before"), F.reverse("first.before")))
-    on = F.slice("after", F.lit(1), _agreeing(F.col("after"), F.col("first.after")))
-    gone = F.concat(F.transform(back, lambda x: x["line"]), "own", F.transform(on, lambda x: x["line"]))
-    return later.select("a", "b", gone.alias("gone")).groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    itself = F.array(F.struct(F.col("g").alias("key"), F.col("own").alias("lines")))
+    keys = F.concat(itself, _extended(F.col("after"), "after"), _extended(F.reverse("before"), "before"))
+    each = scratch.cut(grams.join(often, "g").select(place.alias("place"), F.explode(keys).alias("x")).select("place", "x.key", "x.lines"), "keys")
+    firsts = each.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = each.join(firsts, "key").where(F.col("place") != F.col("first"))
+    return later.groupBy("place.a", "place.b").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 
 
-def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """All columns of ``docs`` with later repeated runs of lines deleted from ``text``, and n_deleted_lines.
-
-    Fingerprints are computed once, into a written table.
-    """
+def _judged(docs: DataFrame, run: int, gram: int) -> tuple[DataFrame, Column]:
+    """``row`` (all columns of ``docs``) and ``gone``, the lines to delete or null; and the text without them."""
     found = scratch.cut(fingerprints(lines(docs), run, gram), "grams")
     gone = scratch.cut(repeats(found), "repeats")
     a, b = _keys()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), a, b)
-    rows = rows.join(gone.hint("shuffle_hash"), ["a", "b"], "left")
-    text = F.col("row.text")
-    split = F.split(text, "\n")
+    rows = rows.join(gone.hint("shuffle_hash"), ["a", "b"], "left").select("row", "gone")
+    split = F.split(F.col("row.text"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     left = F.array_join(F.transform(kept, lambda k: F.get(split, k)), "\n")
-    new = F.when(F.col("gone").isNull(), text).otherwise(left)
-    names = [c for c in docs.columns if c != "n_deleted_lines"]
-    return rows.select(*[new.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted_lines"))
+    return rows, F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
+
+
+def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """All columns of ``docs`` with later repeated runs of lines deleted from ``text``, and n_deleted_lines (in place of a column of that name).
+
+    Fingerprints are computed once, into a written table.
+    """
+    rows, text = _judged(docs, run, gram)
+    names = [c for c in docs.columns if c.lower() != "n_deleted_lines"]
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted_lines"))
 
 
 def deduplicated(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """``docs`` with its own columns, the runs deleted and ``n_chars``, where there is such a column, made anew."""
-    out = dedup(docs, run, gram).drop(*([] if "n_deleted_lines" in docs.columns else ["n_deleted_lines"]))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    rows, text = _judged(docs, run, gram)
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
