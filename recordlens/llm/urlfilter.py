@@ -65,4 +65,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Da
     fits = each.join(table, "short").where(F.col("full") == F.col("digest"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("size", F.expr("verdict = 'block' AS block"), "rule", "verdict")).alias("best"))
     best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    ruled = urls.where("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    # However many rows have no host, no join gathers them.
+    return ruled.unionByName(urls.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}))
