@@ -25,7 +25,7 @@ def vocabulary() -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
+    rows = quality.judge(scratch.cut(quality.ledger(_table(spark, sf_dir, "documents")), "quality"))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base-1"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", "policy")
 
@@ -105,7 +105,7 @@ FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    ledger = scratch.cut(secretscan.update(docs), "ledger")
+    ledger = secretscan.record(docs, f"{scratch.folder(spark)}/secrets-{uuid.uuid4().hex}")
     return secretscan.findings(docs, ledger).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "rule_version")
 
 

@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices
@@ -103,13 +103,33 @@ def unseen(docs: DataFrame, version: str, ledger: DataFrame | None = None) -> Da
     first = ids.groupBy("blob").agg(F.min("id").alias("id"))
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    return rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(first.hint("shuffle_hash"), ["id", "blob"], "left_semi").select("blob", "text")
+    chosen = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(first.hint("shuffle_hash"), ["id", "blob"], "left_semi")
+    return chosen.dropDuplicates(["id", "blob"]).select("blob", "text")  # repeated rows; they are together already
 
 
 def update(docs: DataFrame, version: str = "full-1", ledger: DataFrame | None = None) -> DataFrame:
     """The new rows of the ledger: findings for every unseen pair of blob and rule version."""
     ship(docs.sparkSession)
-    return unseen(docs, version, ledger).mapInArrow(_scanned(version), FINDINGS).dropDuplicates(["blob", "rule_version"])
+    return unseen(docs, version, ledger).mapInArrow(_scanned(version), FINDINGS)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept at ``path``, empty if there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], FINDINGS)
+    return spark.read.schema(FINDINGS).parquet(path)
+
+
+def record(docs: DataFrame, path: str, version: str = "full-1") -> DataFrame:
+    """Scan what the ledger at ``path`` lacks, append that to it, and return the ledger.
+
+    Each call adds files and touches none that are there: earlier versions of a
+    document keep their blobs' rows, and neither they nor blobs that return are scanned again.
+    """
+    spark = docs.sparkSession
+    update(docs, version, stored(spark, path)).write.mode("append").parquet(path)
+    return stored(spark, path)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, version: str = "full-1") -> DataFrame:
