@@ -46,6 +46,8 @@ PARTS = 256
 TASK_SLOTS = 1_000_000
 #: Slots that one row is expanded into.
 CHUNK = 1024
+#: Shards of a stretch: what a source gives to earlier shards is summed within stretches, then over them.
+STRETCH = 4096
 #: Sources up to which their table is sent to every executor (under 10 MB); more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -123,10 +125,18 @@ def draws(table: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     return slots.select("sid", place.alias("place")).withColumn("shard", F.expr(f"place div {shard}")).groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
 
+def _numbered(counts: DataFrame) -> DataFrame:
+    """The draws with ``first``, how many blocks earlier shards take from the source: summed in stretches of shards, so that no source is one task's."""
+    counts = counts.withColumn("stretch", F.expr(f"shard div {STRETCH}"))
+    stretches = counts.groupBy("sid", "stretch").agg(F.sum("n").alias("n"))
+    before = stretches.select("sid", "stretch", (F.sum("n").over(Window.partitionBy("sid").orderBy("stretch")) - F.col("n")).alias("before"))
+    here = F.sum("n").over(Window.partitionBy("sid", "stretch").orderBy("shard")) - F.col("n")
+    return counts.withColumn("here", here).join(before, ["sid", "stretch"]).select("shard", "sid", "n", (F.col("before") + F.col("here")).alias("first"))
+
+
 def mixture(table: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """The slots of the mix: shard, sid, slot (through all shards), pass, block and words (how many the slot takes from its block's start)."""
-    by = Window.partitionBy("sid").orderBy("shard")
-    counts = draws(table, shard, seed).withColumn("first", F.sum("n").over(by) - F.col("n"))
+    counts = _numbered(draws(table, shard, seed))
     t = table.select("sid", "blocks", "tail", "a_pass", "passes", "rest", "slots")
     slots = counts.join(t, "sid").repartition(_tasks(table), "sid", "shard").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
     slots = slots.withColumn("pass", F.expr("slot div a_pass")).withColumn("at", F.col("slot") % F.col("a_pass"))
