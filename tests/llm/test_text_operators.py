@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -115,11 +117,22 @@ def test_packing_plan_is_best_fit_decreasing():
         assert sorted(length for parts in placed.values() for _, length in parts) == sorted(sizes) and len(placed) == len(bins)
 
 
+def test_packing_gives_added_tokens_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    own, chunks = Tokenizer.from_file(vocabulary()), packing.Chunks(vocabulary())
+    assert chunks.by_word
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "word", " ", "\n", "É", "7", "'s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(2000)]
+    want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(chunks.texts(pa.array(texts))) == want and any(b"\xff\xc0\x00\x00" in w for w in want)
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(vocabulary())
-    own.encode_special_tokens = True
     capacity = 64
     packed = packing.pack_documents(odd, vocabulary(), capacity)
     rows = packed.collect()
@@ -164,7 +177,6 @@ def plain_repeats(docs, at_least):
                     if run in first:
                         gone |= {k for k, _, _ in lines[a : b + 1]}
                     first.add(run)
-                    break
         out[doc] = gone
     return out
 
@@ -178,15 +190,22 @@ def test_line_dedup_finds_every_repeated_run(spark):
         for _ in range(rng.randint(1, 4)):
             lines += rng.choice(runs) if rng.random() < 0.5 else [prose(rng, rng.randint(0, 60), 10**6)]
         docs.append((doc, "\n".join(lines)))
-    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    for doc, text in docs:
-        lines, kept = text.split("\n"), got[doc].text.split("\n") if got[doc].text else []
-        must = plain_repeats(docs, linededup.RUN)[doc]
-        assert got[doc].n_deleted_lines >= len(must)
-        left = Counter(kept)
-        for k, line in enumerate(lines):
-            if k not in must and not any(line in run for run in runs) and line:
-                assert left[line] > 0  # lines of no run stay
+    docs += [(100, "\n".join(runs[0][:3])), (101, "\n".join([prose(rng, 9, 10**6), *runs[0][-4:]]))]
+    docs += [(k, "\n".join([prose(rng, 30, 10**6), *(x for r in runs[:3] for x in r)])) for k in (102, 103)]
+    rows, _ = linededup._judged(spark.createDataFrame(docs, "doc_id long, text string"), linededup.RUN, linededup.GRAM)
+    gone = {r.doc_id: set(r.gone or ()) for r in rows.select("row.doc_id", "gone").collect()}
+    must, may = plain_repeats(docs, linededup.RUN), plain_repeats(docs, linededup.GRAM)
+    assert sum(map(len, gone.values())) > 100
+    for doc, _ in docs:
+        assert set(must[doc]) <= gone[doc] <= set(may[doc])
+
+
+def test_line_dedup_of_runs_whose_parts_came_first_elsewhere(spark):
+    rng = random.Random(8)
+    run = [prose(rng, 11, 10**6) for _ in range(12)]
+    docs = [(1, "\n".join(run[:4])), (2, "\n".join(run[7:])), (3, "\n".join(run)), (4, "\n".join(["new", *run, "end"]))]
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[4] == "new\nend" and got[1] == docs[0][1] and got[2] == docs[1][1]
 
 
 def test_line_dedup_simple_and_odd(spark, odd):
@@ -365,6 +384,22 @@ def test_secret_ledger_scans_only_what_is_new(spark, odd):
     assert secretscan.update(odd.limit(0)).count() == 0
 
 
+def test_secret_ledger_is_kept_and_appended(spark, odd, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert secretscan.record(odd.limit(0), path).count() == 0
+    blobs = len({t or "" for _, t, _ in ODD})
+    assert secretscan.record(odd, path).count() == secretscan.record(odd, path).count() == blobs
+    later = spark.createDataFrame([(5, "secret: hunter22"), (1, None)], "doc_id long, text string")
+    assert secretscan.record(later, path).count() == blobs + 1
+    assert secretscan.record(later, path, "base-1").count() == blobs + 3
+    assert [r.spans for r in secretscan.findings(later, secretscan.stored(spark, path)).orderBy("doc_id").collect()] == ["", "assign:0:16"]
+
+
+def test_secret_scans_read_repeated_rows_once(spark):
+    docs = spark.createDataFrame([(None, "token=abcdef")] * 50 + [(1, "token=abcdef")] * 3, "doc_id long, text string")
+    assert secretscan.unseen(docs, "full-1").count() == 1 and secretscan.findings(docs, secretscan.update(docs)).count() == 53
+
+
 # Surrogates
 
 
@@ -403,21 +438,58 @@ def test_surrogates_stay_distinct_where_draws_collide(spark):
 # Sharding
 
 
+def plain_shuffle(rows, shards, seed):
+    """rows: (bucket, id, tie, text). Buckets in order, each by Fisher-Yates, cut into shards."""
+    order = []
+    for bucket in sorted({r[0] for r in rows}):
+        own = sorted((r for r in rows if r[0] == bucket), key=lambda r: r[1:3])
+        order += [own[k] for k in np.random.default_rng([seed, bucket]).permutation(len(own))]
+    n, out, slots = len(order), [], Counter()
+    for k, r in enumerate(order):
+        shard = k * shards // n
+        out.append((r[1], r[3] or "", shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(out)
+
+
+def placed(rows):
+    return sorted((-(2**63) if r.doc_id is None else r.doc_id, r.text or "", r.shard, r.slot) for r in rows)
+
+
 def test_sharding(spark, odd):
     many = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100)).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 200))
     out = sharding.shuffle(many, shards=4, bucket_bytes=20_000)
     rows = out.collect()
-    assert Counter(r.text for r in rows) == Counter(r.text for r in many.collect())
+    total = sum(len((r.text or "").encode()) + 1 for r in rows)
+    number, tie = F.coalesce("doc_id", F.lit(-(2**63))), sharding._hashed(many, sharding.SEED)
+    hashed = many.select(F.pmod(F.xxhash64(F.lit(sharding.SEED + 1), number, tie), F.lit(-(-total // 20_000))), number, tie, "text").collect()
+    assert len({r[0] for r in hashed}) > 5 and placed(rows) == plain_shuffle([tuple(r) for r in hashed], 4, sharding.SEED)
     slots = {}
     for r in rows:
         slots.setdefault(r.shard, []).append(r.slot)
     sizes = [len(s) for s in slots.values()]
     assert sorted(slots) == [0, 1, 2, 3] and max(sizes) - min(sizes) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    place = lambda rows: sorted((r.doc_id or 0, r.text or "", r.shard, r.slot) for r in rows)
-    assert place(sharding.shuffle(many.repartition(7), shards=4, bucket_bytes=20_000).collect()) == place(rows)
+    assert placed(sharding.shuffle(many.repartition(7), shards=4, bucket_bytes=20_000).collect()) == placed(rows)
     assert sharding.shuffle(odd.limit(0)).count() == 0
 
 
+def test_sharding_scatters_copies_that_overfill_a_bucket(spark):
+    rows = [(None, "the same " * 10)] * 400 + [(k, f"text {k} " * 9) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.create_map(F.lit("k"), F.lit(1)))
+    out = sharding.shuffle(docs, shards=3, bucket_bytes=2_000)
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and all(r.more == {"k": 1} for r in got)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s, n in enumerate((234, 233, 233)) for k in range(n)]
+    assert placed(sharding.shuffle(docs.repartition(5), shards=3, bucket_bytes=2_000).collect()) == placed(got)
+    by_shard = Counter(r.shard for r in got if r.doc_id is None)
+    assert all(90 < n < 180 for n in by_shard.values())
+
+
+def test_sharding_writes_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert sharding.write(docs, str(tmp_path / "shards")).columns == ["doc_id", "text", "shard", "slot"] and sharding.write(docs, str(tmp_path / "again")).count() == 0
+
+
 # Mixing
 
 
