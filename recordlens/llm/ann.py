@@ -3,13 +3,17 @@
 Vectors are turned and projected by several seeded rotations, shifted, and put
 in the order of a Hilbert curve, once for each rotation. Spark range-partitions every
 order into windows of about ``WINDOW`` vectors. A query looks through the windows
-around its own place in every order; what they hold is ranked by the exact
-cosine, and the best of all orders are merged.
+around its own place in every order; what they hold is ranked by the
+cosine, and the best of all orders are merged. More of them than are asked for are then
+ranked again by their cosine in exact arithmetic on the original vectors, rounded once, so
+that equal cosines are equal numbers and the smaller id comes first.
 
-How many neighbouring windows that are is a share of all of them (``SHARE``),
+How many neighbouring windows that are is either a number (``reach``), for vectors with
+structure, and then work grows as the table does; or a share of all of them (``SHARE``),
 for vectors without structure are near each other in no order: on such data
 (64 dimensions, weak clusters) recall is about what the windows cover, and a
-share that reaches 0.9 reads much of the table. Clustered data allow a smaller share.
+share that reaches 0.9 reads much of the table. Groups that meet are bounded either way:
+the queries of a window come in parts of about ``ASKED``.
 
 Equal vectors are indexed once and carry their smallest ids, enough for any
 answer, so neither a group of copies nor a query repeated in it grows a window.
@@ -40,6 +44,10 @@ BITS = 6
 WINDOW = 2048
 SHARE = 0.2
 SEED = 5
+#: Queries that meet a window's vectors in one group, about.
+ASKED = 4096
+#: Digits to which cosines are compared before they are ranked exactly; more candidates than asked for are kept.
+DIGITS = 12
 #: Rows of equal vectors that one group of the first aggregation holds at most, about.
 GROUP = 50_000
 
@@ -114,7 +122,7 @@ def _searched(size: int, k: int):
         out: list[tuple[int, int, list[int], float]] = []
         for at in range(0, len(rows) if len(here) else 0, 256):
             some = rows[at : at + 256]
-            scores = units[some] @ units[here].T
+            scores = np.round(units[some] @ units[here].T, DIGITS)
             for q, line in zip(some.tolist(), scores):
                 near = np.argpartition(-line, min(k, len(line)) - 1)[:k]
                 near = np.flatnonzero(line >= line[near].min())
@@ -126,6 +134,27 @@ def _searched(size: int, k: int):
     return run
 
 
+def _whole(vector: list[float]) -> list[int]:
+    """Whole numbers in the proportions of a vector's components."""
+    parts = [x.as_integer_ratio() for x in vector]
+    most = max(d for _, d in parts)
+    return [n * (most // d) for n, d in parts]
+
+
+def cosine(x: list[float], y: list[float]) -> float:
+    """The cosine of two vectors: its square is an exact fraction, rounded once, and so is the root."""
+    x, y = _whole(x), _whole(y)
+    dot = math.sumprod(x, y)
+    size = math.sqrt(dot * dot / (math.sumprod(x, x) * math.sumprod(y, y)))
+    return size if dot >= 0 else -size
+
+
+def _rescored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = [cosine(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["query_rep", "ids", "score"])
+
+
 def vectors(table: DataFrame) -> DataFrame:
     """vec_id and vector (doubles) of the rows that take part, each once."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -163,8 +192,11 @@ def windows(index: DataFrame, size: int, n: int, curves: int = CURVES, window: i
     return out.join(merged, ["curve", "window"]).drop("window").withColumnRenamed("to", "window")
 
 
-def nearest(table: DataFrame, queries_at: int = 50, k: int = 5, curves: int = CURVES, window: int = WINDOW, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """For each row whose id is divisible by ``queries_at``: query_id, rank (from 1), vec_id, score of its k nearest found."""
+def nearest(table: DataFrame, queries_at: int = 50, k: int = 5, curves: int = CURVES, window: int = WINDOW, share: float = SHARE, reach: int | None = None, seed: int = SEED) -> DataFrame:
+    """For each row whose id is divisible by ``queries_at``: query_id, rank (from 1), vec_id, score of its k nearest found.
+
+    A query looks ``reach`` windows to either side, or, if that is not given, as many as make ``share`` of all.
+    """
     spark = table.sparkSession
     ship(spark)
     rows = vectors(table)
@@ -174,18 +206,27 @@ def nearest(table: DataFrame, queries_at: int = 50, k: int = 5, curves: int = CU
     size, n_rows = common
     rows = rows.where(F.size("vector") == size)
     index = scratch.cut(distinct(rows, queries_at, k, n_rows), "vectors")
-    placed = windows(index, size, index.count(), curves, window, seed)
-    reach = F.ceil((F.col("last") + 1) * share / 2).cast("int")
-    asking = placed.where("asks").withColumn("window", F.explode(F.sequence(F.greatest(F.lit(0), F.col("window") - reach), F.least(F.col("last"), F.col("window") + reach))))
-    both = placed.withColumn("asking", F.lit(False)).unionByName(asking.withColumn("asking", F.lit(True)))
-    both = both.select("curve", "window", "rep", "vector", F.expr("CASE WHEN asking THEN NULL ELSE ids END").alias("ids"), "asking")
-    found = both.groupBy("curve", "window").applyInArrow(_searched(size, k + 1), "query_rep long, rep long, ids array<long>, score double")
-    found = found.groupBy("query_rep", "rep").agg(F.max("score").alias("score"), F.first("ids").alias("ids")).withColumn("vec_id", F.explode("ids"))
+    n, n_asked = index.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
+    placed = windows(index, size, n, curves, window, seed)
+    far = F.lit(reach) if reach is not None else F.ceil((F.col("last") + 1) * share / 2).cast("int")
+    asking = placed.where("asks").withColumn("window", F.explode(F.sequence(F.greatest(F.lit(0), F.col("window") - far), F.least(F.col("last"), F.col("window") + far))))
+    # About so many queries meet a window; its vectors go to each part of them.
+    meeting = n_asked * (share if reach is None else min(1.0, (2 * reach + 1) * window / max(n, 1)))
+    parts = max(1, round(meeting / ASKED))
+    asking = asking.withColumns({"asking": F.lit(True), "part": F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")})
+    both = placed.withColumns({"asking": F.lit(False), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))}).unionByName(asking, allowMissingColumns=True)
+    both = both.select("curve", "window", "part", "rep", "vector", F.expr("CASE WHEN asking THEN NULL ELSE ids END").alias("ids"), "asking")
+    found = both.groupBy("curve", "window", "part").applyInArrow(_searched(size, 2 * (k + 1)), "query_rep long, rep long, ids array<long>, score double")
+    found = found.groupBy("query_rep", "rep").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    found = found.withColumn("at", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep"))).where(F.col("at") <= 2 * (k + 1))
+    own = index.where("asks").select(F.col("rep").alias("query_rep"), F.col("vector").alias("query"))
+    pairs = found.select("query_rep", "rep", "ids").join(index.select("rep", "vector"), "rep").join(own, "query_rep").select("query_rep", "ids", "query", "vector")
+    exact = pairs.mapInArrow(_rescored, "query_rep long, ids array<long>, score double").select("query_rep", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
-    answers = found.groupBy("query_rep").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("near"))
+    exact = exact.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+    answers = exact.groupBy("query_rep").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("near"))
     asked = rows.where(F.pmod("vec_id", F.lit(queries_at)) == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
-    asked = asked.join(index.where("asks").select("rep", "vector"), "vector").select("query_id", F.col("rep").alias("query_rep"))
+    asked = asked.join(own.withColumnRenamed("query", "vector"), "vector").select("query_id", "query_rep")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = asked.join(answers, "query_rep").select("query_id", F.posexplode(others).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
