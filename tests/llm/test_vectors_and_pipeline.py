@@ -56,6 +56,37 @@ def test_recall_of_many_windows(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_parallel_vectors_tie(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8).astype(np.float32).astype(float)
+    rows = [(0, base.tolist())] + [(i, (base * m).tolist()) for i, m in ((1, 3), (2, 7), (3, 2), (4, 1 / 4), (5, 11), (6, 5), (7, 13))]
+    rows += [(8 + i, (-base * m).tolist()) for i, m in enumerate((1, 3, 5))] + [(50, [0.0] * 7 + [1e-310])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 6)]
+    assert ann.cosine(rows[0][1], rows[8][1]) == ann.cosine(rows[1][1], rows[9][1]) == -1.0 and ann.cosine([1.0, 0.0], [0.0, 5.0]) == 0.0
+    assert ann.cosine([1e300, 1e300], [1e-300, 0.0]) == pytest.approx(0.5**0.5, abs=1e-15)
+
+
+def test_few_windows_suffice_for_vectors_with_structure(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32))
+    vectors = (centres[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 32))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(table, window=200, reach=1).collect()}
+    want = {(q, i) for q, near in plain_nearest(rows).items() for i, _ in near}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_queries_of_a_window_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 6)).astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, ann.nearest(table, queries_at=2, window=300).collect()))
+    monkeypatch.setattr(ann, "ASKED", 40)
+    assert sorted(map(tuple, ann.nearest(table, queries_at=2, window=300).collect())) == whole and len(whole) == 3750
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(3)
     text = lambda n: " ".join(f"word{rng.randrange(3000)}" for _ in range(n))
