@@ -1,3 +1,4 @@
+import ipaddress
 import random
 import re
 import zlib
@@ -421,13 +422,101 @@ def test_surrogates_are_consistent_and_typed(spark, odd):
     assert sum(d if k % 2 == 0 else 2 * d // 10 + 2 * d % 10 for k, d in enumerate(digits)) % 10 == 0
     m = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1(\d{10}); Mr (\w+) (\w+) met Ms (\w+) (\w+) and Mr (\w+) (\w+)\. Господин ([А-Я][а-я]+)\.", got[1].text)
     assert m and m[1] + m[2] + m[3] == m[4]
-    assert m[5].lower() in pii.GIVEN["Latin"]["m"] and m[7].lower() in pii.GIVEN["Latin"]["f"] and (m[5].upper(), m[6].upper()) == (m[9], m[10])
+    assert m[5].endswith(pii.GIVEN["Latin"]["m"]) and m[7].endswith(pii.GIVEN["Latin"]["f"]) and (m[5].upper(), m[6].upper()) == (m[9], m[10]) and m[6] == m[8]
     assert re.fullmatch(r"1\d{3} \d{4} \d{4} \d{4} and 999\.1\.1\.1 and plain 42, no more@ @none", got[2].text)
     assert not any(x in " ".join(again.values()) for x in ("Smith", "555-2164", "example.com", "4111111111111111", "10.0.0.1"))
     out = pii.replace(odd, "key")
     assert set(out.columns) == {*odd.columns, "n_entities"} and Counter(r.text for r in out.collect()) == Counter(t for _, t, _ in ODD)
 
 
+def replaced(spark, texts, key="key"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.replace(docs, key).orderBy("doc_id").collect()]
+
+
+def test_surrogates_of_persons(spark):
+    one, two, three, four, five = replaced(
+        spark,
+        [
+            "Mr Peter Smith came. Mr Smith sat by Mrs Smith. Peter Smith left, Smith's hat stayed; SMITH!",
+            "Mrs Anna Müller and Dr Müller. Anna-Lena O'Neil and Frau Anna-Lena O'Neil, Herr von Braun, von Braun.",
+            "Ms Kim Lee and Mr Kim Lee, then Kim Lee.",
+            "Smith and Peter and Kim Lee are not named here with a title.",
+            "Dr Kim Lee. Nothing else About Smithers.",
+        ],
+    )
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) sat by Mrs (\w+)\. (\w+) (\w+) left, (\w+)'s hat stayed; (\w+)!", one)
+    assert m and m[1] == m[5] and len({m[2], m[3], m[4], m[6], m[7], m[8].title()}) == 1 and m[8].isupper() and m[2] != "Smith" and m[1] != "Peter"
+    m = re.fullmatch(r"Mrs (\w+) (\w+) and Dr (\w+)\. (\w+-\w+) (\w'\w+) and Frau (\w+-\w+) (\w'\w+), Herr von (\w+), von (\w+)\.", two)
+    assert m and m[2] == m[3] and m[4] == m[6] and m[5] == m[7] and m[8] == m[9] != "Braun" and m[4][0].isupper() and m[4].split("-")[1][0].isupper() and m[5][2].isupper()
+    m = re.fullmatch(r"Ms (\w+) (\w+) and Mr (\w+) (\w+), then (\w+) (\w+)\.", three)
+    assert m and m[1] != m[3] and m[1] == m[5] and m[2] == m[4] == m[6] and m[1].endswith(pii.GIVEN["Latin"]["f"]) and m[3].endswith(pii.GIVEN["Latin"]["m"])
+    assert four.startswith("Smith and Peter") and re.fullmatch(r"Dr (\w+) (\w+)\. Nothing else About Smithers\.", five)
+
+
+def test_surrogates_of_numbers(spark):
+    texts = ["call 555-123-4567 or 030 1234567", "pay 3782 822463 10005 from DE89 3700 0440 0532 0130 00 or DE89370400440532013000 not DE00 3700 0440 0532 0130 00", "id 078-05-1120", "hosts 192.168.3.4 10.9.8.7 172.20.0.9 127.0.0.1 169.254.7.7 8.8.8.8", "in 2024-05-17, 1234-5678, 12.5.2024, v1.2.3, 100 200 300"]
+    valid = "DE89 3704 0044 0532 0130 00"
+    texts[1] = texts[1].replace("DE89 3700 0440 0532 0130 00", valid)
+    phones, pay, own, hosts, plain = replaced(spark, texts)
+    assert plain == texts[4]
+    assert re.fullmatch(r"call 5\d\d-\d{3}-\d{4} or 0\d\d \d{7}", phones) and phones != texts[0] and re.fullmatch(r"id 0\d\d-\d\d-\d{4}", own) and own != texts[2]
+    m = re.fullmatch(r"pay (3\d{3} \d{6} \d{5}) from (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}) not DE00 3700 0440 0532 0130 00", pay)
+    assert m and m[2].replace(" ", "") == m[3] != valid.replace(" ", "") and int(m[3][4:] + "1314" + m[3][2:4]) % 97 == 1
+    ips = hosts.split()[1:]
+    nets = [ipaddress.ip_address(x) for x in ips]
+    assert ips[0].startswith("192.168.") and ips[1].startswith("10.") and nets[2] in ipaddress.ip_network("172.16.0.0/12") and ips[3].startswith("127.") and ips[4].startswith("169.254.") and not set(ips) & set(texts[3].split())
+
+
+def test_surrogates_on_generated_documents(spark):
+    """Held against the slots that the documents were made of: what is between them stays, and one entity is one surrogate."""
+    rng = random.Random(12)
+    families, givens = [f"{a}{b}{c}" for a in ("Bra", "Lind", "Mor") for b in ("du", "ke", "ra") for c in ("n", "ss", "lt")], {"Mr": ["Paul", "Karl", "Kim"], "Ms": ["Rita", "Nora", "Kim"]}
+    people = [(t, g, f) for t in givens for g in givens[t] for f in families]
+    number = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    mails = [f"user{k}@mail{k % 7}.example.com" for k in range(40)]
+    phones = [f"+1 (2{number(2)}) {number(3)}-{number(4)}" for _ in range(40)]
+    ips = [f"{rng.randrange(11, 100)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(40)]
+    filler = ["and so it went on", "the river, 42 of them,", "later\nthat day", "«nothing»"]
+    docs, slots = [], []
+    for _ in range(150):
+        parts, own = [], []
+
+        def put(text, *entity):
+            own.append((len(parts), entity))
+            parts.append(text)
+
+        title, given, family = rng.choice(people)
+        for _ in range(rng.randrange(1, 6)):
+            parts.append(rng.choice(filler))
+            what = rng.randrange(6)
+            if what < 3:
+                if what != 1 and not any(e[0] == "family" for _, e in own):
+                    parts.append(title)
+                    put(given, f"given {title}", given)
+                    put(family, "family", family)
+                elif any(e[0] == "family" for _, e in own):
+                    put(family if what else family.upper(), "family", family)
+            else:
+                x = rng.choice((mails, phones, ips)[what - 3])
+                put(x, str(what), x)
+        docs.append(" ".join(parts))
+        slots.append((parts, own))
+    to = {}
+    for text, (parts, own), new in zip(docs, slots, replaced(spark, docs)):
+        at = dict(own)
+        pattern = " ".join(r"([^\n]+?)" if k in at else re.escape(p) for k, p in enumerate(parts))
+        m = re.fullmatch(pattern, new)
+        assert m, (text, new)
+        for got, (k, entity) in zip(m.groups(), sorted(own)):
+            assert got.lower() != parts[k].lower() and (got.isupper() == parts[k].isupper())
+            to.setdefault(entity, set()).add(got.lower())
+    assert all(len(x) == 1 for x in to.values()) and len(to) > 100
+    for kind in {e[0] for e in to}:
+        own = [next(iter(x)) for e, x in to.items() if e[0] == kind]
+        assert len(own) == len(set(own)) and not set(own) & {e[1].lower() for e in to if e[0] == kind}
+
+
 def test_surrogates_stay_distinct_where_draws_collide(spark):
     values = [(k, f"Mr {a}{b}") for k, (a, b) in enumerate((a, b) for a in "ABCDEFGHIKLMNOP" for b in "aeiou")]
     docs = spark.createDataFrame(values, "doc_id long, text string")  # two-letter names: many draws collide
