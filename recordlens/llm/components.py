@@ -53,6 +53,6 @@ def roots(edges: DataFrame) -> DataFrame:
         large = _meet(both, least, hot).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         small = _meet(large, least, hot).select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"))
-        now = scratch.cut(small.where("u <> v").distinct(), "edges")
+        now = scratch.cut(small.where("u <> v").distinct(), "edges", instead=now)
         before, after = after, _signature(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,9 +3,9 @@
 The texts of a source, one after another, are a stream of words cut into blocks
 of ``BLOCK`` words; the last, shorter block is its tail. Every source gets a
 target number of words. Output shards of ``SHARD`` slots draw how many blocks
-they take from each source: a multinomial draw without replacement from all
-slots that the targets come to, so that the draws of all shards add up to the
-targets. A source's slots, numbered through the shards, are mapped through a
+they take from each source: multinomial counts, under the condition that those of all
+shards add up to the targets. Such counts are dealt by one permutation of all
+slots that the targets come to. A source's slots, numbered through the shards, are mapped through a
 pseudorandom permutation of its blocks, a new one for each pass over the source;
 its tail ends each pass. Slots then meet the blocks in an equi-join on source and
 block number. The last slot of a source takes only the words still due, so what

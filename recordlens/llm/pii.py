@@ -265,16 +265,16 @@ def mentions(found: DataFrame) -> DataFrame:
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """kind, value and surrogate of all entities, without collisions. Each round is a written table."""
-    now = found.select("kind", "value").distinct().withColumn("draw", F.lit(0))
+    now, seen = found.select("kind", "value").distinct().withColumn("draw", F.lit(0)), None
     for _ in range(DRAWS):
-        now = scratch.cut(now.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("draw"))), "surrogates")
+        now = scratch.cut(now.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("draw"))), "surrogates", instead=seen)
         owner = now.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
         real = now.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         seen = now.join(owner, ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
         again = (F.coalesce("real", F.lit(False)) | F.coalesce(F.col("owner") != F.col("value"), F.lit(False))) & (F.col("kind") != "ip")
-        seen = scratch.cut(seen.select("kind", "value", "draw", again.alias("again")), "collisions")
-        if not seen.where("again").limit(1).count():
+        if not seen.where(again).limit(1).count():
             return now.select("kind", "value", "surrogate")
+        seen = scratch.cut(seen.select("kind", "value", "draw", again.alias("again")), "collisions", instead=now)
         now = seen.select("kind", "value", (F.col("draw") + F.col("again").cast("int")).alias("draw"))
     raise RuntimeError(f"surrogates still collide after {DRAWS} draws")
 

@@ -28,15 +28,45 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/recordlens/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table of its own and return the reader of that table."""
+#: Tables that this process has cut and not deleted.
+_made: list[str] = []
+
+
+def cut(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table of its own and return the reader of that table.
+
+    ``instead`` is a table cut earlier that this one replaces: it is deleted.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    if instead is not None:
+        _delete(spark, instead._scratch_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _made:
+        _made.remove(name)
+
+
+def made() -> set[str]:
+    """The tables cut so far, for ``sweep``."""
+    return set(_made)
+
+
+def sweep(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
+    """Delete what was cut since ``before``, but for one table that no longer needs the others."""
+    for path in made() - before - {keep._scratch_path}:
+        _delete(spark, path)
 
 
 def drop(spark: SparkSession) -> None:
     """Delete all tables this application has cut; DataFrames on them become unreadable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, folder(spark))
+    _made.clear()
