@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,7 +51,7 @@ SUFFIXES = {
     "proprietary limited": "pty",
 }
 
-_WORD = "[A-Za-z0-9_]"
+_WORD = r"\w"  # ASCII letters, digits and _
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
@@ -82,15 +84,32 @@ def suffix_order() -> list[str]:
     return sorted(SUFFIXES, key=len, reverse=True)
 
 
-def suffix_pattern(key: str, strict: bool = False) -> str:
+def suffix_pattern(key: str, strict: bool = False, lowered: bool = False) -> str:
+    """Matches a suffix between word boundaries. Unless the text is ``lowered``, in any case; no letter beyond ASCII counts as one within."""
     body = key.replace(".", r"\.") if strict else key
+    if not lowered:
+        body = "(?i:" + re.sub(r"[^\x00-\x7f]", lambda m: f"[{m[0]}{m[0].upper()}]", body) + ")"
     last = rf"(?!{_WORD})" if key[-1] != "." else f"(?!{_WORD})" if strict else _BOUNDARY
-    return f"(?iu)(?<!{_WORD}){body}{last}"
+    return f"(?<!{_WORD}){body}{last}"
 
 
-def canonical_suffixes(c: Column, strict: bool = False) -> Column:
-    """Every suffix in turn, each on the outcome of those before."""
-    return reduce(lambda x, key: F.regexp_replace(x, suffix_pattern(key, strict), SUFFIXES[key]), suffix_order(), c)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _turned(key: str, strict: bool, lowered: bool) -> Callable[[Column], Column]:
+    """Replaces a suffix. In lowered texts the pattern is only tried where the longest plain piece of the suffix is found."""
+    pattern, to = suffix_pattern(key, strict, lowered), SUFFIXES[key]
+    piece = max(re.split(r"[^\x00-\x7f]|\.", key), key=len)
+    if not lowered or len(piece) < 2:
+        return lambda x: F.regexp_replace(x, pattern, to)
+    return lambda x: _let(x, lambda t: F.when(t.contains(piece), F.regexp_replace(t, pattern, to)).otherwise(t))
+
+
+def canonical_suffixes(c: Column, strict: bool = False, lowered: bool = False) -> Column:
+    """Every suffix in turn, each on the outcome of those before. ``lowered`` texts have no capitals."""
+    return reduce(lambda x, key: _turned(key, strict, lowered)(x), suffix_order(), c)
 
 
 def suffixes_found(c: Column, strict: bool = False) -> Column:
@@ -122,7 +141,7 @@ def normalize(c: Column, options: Options = DEFAULT) -> Column:
     if options.lowercase:
         out = F.lower(out)
     if options.suffixes:
-        out = canonical_suffixes(out, options.strict_suffixes)
+        out = canonical_suffixes(out, options.strict_suffixes, options.lowercase)
     if options.special:
         out = drop_special(out, options.keep_at)
     if options.whitespace:
