@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +128,28 @@ def stats(catalog: Catalog) -> DataFrame:
     return out.agg(*[F.coalesce(F.max(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k) for k in names])
 
 
+def put_org(catalog: Catalog, org: DataFrame) -> Catalog:
+    """The organization: there is one row at most, and a new one replaces it."""
+    return Catalog({**catalog.tables, "org_info": conform(org.limit(1), "org_info")})
+
+
+def get_org(catalog: Catalog) -> DataFrame:
+    return catalog["org_info"].limit(1)
+
+
+def sync_org(spark: SparkSession, catalog: Catalog, org_id: str | None = None, name: str | None = None, as_of: str | None = None) -> Catalog:
+    """The organization of a warehouse: the session's catalog and where its tables are, if not given."""
+    at = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+    row = (org_id or spark.catalog.currentCatalog(), spark.conf.get("spark.sql.warehouse.dir"), name or spark.catalog.currentDatabase())
+    return put_org(catalog, spark.createDataFrame([row], "org_id string, instance_url string, org_name string").withColumn("last_synced_at", at))
+
+
+def full_stats(catalog: Catalog) -> DataFrame:
+    """The counts with the organization beside them (nulls where there is none)."""
+    org = catalog["org_info"].agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("org_id", "org_name", "last_synced_at")])
+    return stats(catalog).crossJoin(F.broadcast(org))  # one row and one row
+
+
 def standard_objects(described: DataFrame) -> DataFrame:
     """From (name, is_queryable, is_createable, is_custom, position): priority objects in their order, then up to twenty others by position."""
     rows = described.where("is_queryable AND is_createable AND NOT is_custom")
@@ -173,3 +196,26 @@ def sync(spark: SparkSession, catalog: Catalog, tables: Mapping[str, DataFrame],
     catalog = put(catalog, "sobjects", objects)
     catalog = put(catalog, "fields", schema_fields(spark, tables, references))
     return put(catalog, "relationships", relationships_from(catalog["fields"], catalog["sobjects"]))
+
+
+def sync_each(spark: SparkSession, catalog: Catalog, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], references: Mapping[tuple[str, str], Sequence[str]] | None = None, as_of: str | None = None) -> tuple[Catalog, DataFrame]:
+    """As ``sync``, but a table that can't be described is reported and the others go on.
+
+    Returns the catalog and (object, success, n_fields, n_relationships, error) of every table.
+    """
+    found, errors = {}, {}
+    for name, given in tables.items():
+        try:
+            df = given() if callable(given) else given
+            df.schema  # noqa: B018  plans are made here
+            found[name] = df
+        except (PySparkException, ValueError) as error:
+            errors[name] = str(error).splitlines()[0]
+    if found:
+        catalog = sync(spark, catalog, found, references, as_of)
+    fields = catalog["fields"].groupBy(F.col("sobject").alias("object")).agg(F.count("*").alias("n_fields"))
+    rels = catalog["relationships"].groupBy(F.col("from_sobject").alias("object")).agg(F.count("*").alias("n_relationships"))
+    report = spark.createDataFrame([(n, n in found, errors.get(n)) for n in tables], "object string, success boolean, error string")
+    counted = report.join(fields, "object", "left").join(rels, "object", "left")
+    n = lambda c: F.when(F.col("success"), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+    return catalog, counted.select("object", "success", n("n_fields"), n("n_relationships"), "error")

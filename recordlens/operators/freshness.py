@@ -33,6 +33,12 @@ def cache_stats(sobjects: DataFrame, as_of: Column, ttl_ms: int = DAY_MS) -> Dat
     return sobjects.agg(F.count("*").alias("total_objects"), F.count_if(fresh_core).alias("core_objects_cached")).withColumns({"ttl_ms": F.lit(ttl_ms).cast("long"), "ttl_hours": F.lit(ttl_ms / 3600000)})
 
 
+def cache_totals(sobjects: DataFrame, fields: DataFrame, relationships: DataFrame, as_of: Column, ttl_ms: int = DAY_MS) -> DataFrame:
+    """``cache_stats`` with total_fields and total_relationships."""
+    n = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))  # noqa: E731  one row
+    return cache_stats(sobjects, as_of, ttl_ms).crossJoin(n(fields, "total_fields")).crossJoin(n(relationships, "total_relationships"))
+
+
 def related(starts: DataFrame, relationships: DataFrame, depth: int) -> DataFrame:
     """name and the least number of steps (0 to ``depth``) in which it is reached over outgoing relationships.
 

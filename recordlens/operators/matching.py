@@ -16,7 +16,7 @@ so fuzzy candidates join on trigrams and lose nothing.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 import dataclasses
 from dataclasses import dataclass
 
@@ -107,13 +107,19 @@ def contained(probes: DataFrame, records: DataFrame) -> DataFrame:
 def fuzzy(probes: DataFrame, records: DataFrame, above: float = FUZZY, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Pairs (query_id, id) whose normalized texts have a composite similarity above a bound, which must be 0.6 or more.
 
-    Distinct texts are paired, each once, whatever number of rows has them.
+    Distinct texts are paired, each once, whatever number of rows has them. Shared trigrams are counted where pairs
+    meet, so their similarity is known; with that of edits, which is cheap, it bounds the composite from above, and only
+    pairs above the bound are scored in full, over as many tasks as there are partitions: scoring takes long for its bytes.
     """
+    w = {k: max(0.0, v) for k, v in {**S.WEIGHTS, **(weights or {})}.items()}
     texts_p = probes.where("term_norm <> ''").select("term_norm").distinct()
     texts_r = records.where("norm <> ''").select("norm").distinct()
-    p = texts_p.select("term_norm", F.explode(S.trigrams(F.col("term_norm"))).alias("gram"))
-    r = texts_r.select("norm", F.explode(S.trigrams(F.col("norm"))).alias("gram"))
-    pairs = p.join(r, "gram").select("term_norm", "norm").distinct()
+    p = texts_p.withColumn("grams", S.trigrams(F.col("term_norm"))).select("term_norm", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
+    r = texts_r.withColumn("grams", S.trigrams(F.col("norm"))).select("norm", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    pairs = p.join(r, "gram").groupBy("term_norm", "norm", "m", "n").agg(F.count("*").alias("shared"))
+    most = w["levenshtein"] * S.levenshtein_similarity(F.col("term_norm"), F.col("norm")) + w["jaro_winkler"] + w["trigram"] * 2 * F.col("shared") / (F.col("m") + F.col("n")) + w["soundex"]
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.where(most > above - 1e-9).select("term_norm", "norm").repartition(tasks, "term_norm", "norm")
     near = pairs.where(S.composite_score(F.col("term_norm"), F.col("norm"), weights) > above)
     return near.join(probes.select("query_id", "term_norm"), "term_norm").join(records.select("id", "norm"), "norm").select("query_id", "id")
 
@@ -176,12 +182,14 @@ def find_duplicates(probes: DataFrame, records: DataFrame, search: Search | None
     return find_matches(probes, records, search, **columns)
 
 
-def format_matches(rows: list) -> str:
-    """Collected matches as numbered lines."""
+def format_matches(rows: list, shown: Sequence[str] = ()) -> str:
+    """Collected matches as numbered lines, with the values of further fields that the rows have."""
     if not rows:
         return "No matches found."
     out = []
     for k, r in enumerate(rows, 1):
         out.append(f"{k}. {r['name']} (id {r['id']})")
+        further = [f"{f}: {r[f]}" for f in shown if f in r and r[f] not in (None, "")]
+        out += [f"   {', '.join(further)}"] if further else []
         out.append(f"   {r['confidence']} confidence ({r['score'] * 100:.1f}%) - Matched by: {', '.join(r['matched_by'])}")
     return "\n".join(out)

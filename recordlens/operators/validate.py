@@ -9,9 +9,11 @@ are on (object, field).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +69,14 @@ def long_form(rows: DataFrame, key: str, sobject: str, fields: Mapping[str, str]
     return rows.select(F.col(key).alias("row_id"), F.lit(sobject).alias("object"), F.explode(F.array(*each)).alias("v")).select("row_id", "object", "v.*")
 
 
+def from_record(spark: SparkSession, sobject: str, data: Mapping[str, object], row_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """One record that the driver holds, as a row and its values."""
+    kind = lambda v: "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float, Decimal)) else "string" if isinstance(v, str) else "object"
+    text = lambda v: str(v).lower() if isinstance(v, bool) else re.sub(r"\.0$", "", str(v))
+    rows = [(row_id, sobject, k, None if v is None else v if isinstance(v, str) else text(v), None if v is None else kind(v)) for k, v in data.items()]
+    return spark.createDataFrame([(row_id, sobject)], "row_id long, object string"), spark.createDataFrame(rows, "row_id long, object string, field string, value string, js_type string")
+
+
 def from_maps(rows: DataFrame, key: str, sobject: str, data: str) -> DataFrame:
     """Values of a map of strings."""
     return rows.select(F.col(key).alias("row_id"), F.col(sobject).alias("object"), F.explode(data).alias("field", "value")).withColumn("js_type", F.when(F.col("value").isNotNull(), "string"))
@@ -128,7 +138,7 @@ def check_fields(values: DataFrame, catalog: Catalog) -> DataFrame:
         _finding(given & (F.col("expects") != js), f, "error", "TYPE_MISMATCH", _said("Field '%s' expects type %s but got %s.", "label", "expects", "js_type"), _said("Convert value to %s", "expects")),
         _finding(given & (declared == "string") & (js == "string") & (size > F.col("length")), f, "error", "LENGTH_EXCEEDED", _said("Field '%s' exceeds maximum length of %d characters (provided: %d).", "label", "length", "n")),
         _finding(
-            given & (declared == "picklist") & ~F.array_contains("valid", F.col("value")),
+            given & (declared == "picklist") & ~(F.array_contains("valid", F.col("value")) & (js == "string")),
             f,
             "error",
             "INVALID_PICKLIST_VALUE",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..operators import depgraph, matching, validate
 from ..operators.catalog import Catalog, get_relationships
+from .cache import MetadataCache
 
+#: Operations of a level that run at once.
+AT_ONCE = 16
 OPERATION = ("type", "sobject", "temp_id", "record_id", "data")
 
 
@@ -61,14 +66,15 @@ class MemoryStore:
 
     def __init__(self, fail: Sequence[str] = ()):
         self.records: dict[str, dict[str, dict[str, Any]]] = {}
-        self.fail, self.made = set(fail), 0
+        self.fail, self.made, self.lock = set(fail), 0, Lock()
 
     def create(self, sobject: str, data: Mapping[str, Any]) -> str:
         if sobject in self.fail:
             raise RuntimeError(f"cannot create {sobject}")
-        self.made += 1
-        record_id = f"{self.made:015d}"
-        self.records.setdefault(sobject, {})[record_id] = dict(data)
+        with self.lock:
+            self.made += 1
+            record_id = f"{self.made:015d}"
+            self.records.setdefault(sobject, {})[record_id] = dict(data)
         return record_id
 
     def update(self, sobject: str, record_id: str, data: Mapping[str, Any]) -> str:
@@ -100,46 +106,109 @@ def _run(store: Any, op: Mapping[str, Any], ids: Mapping[str, str], leave: Seque
     return {"temp_id": op.get("temp_id"), "sobject": op["sobject"], "type": kind, "success": True, "id": getattr(store, kind)(*args)}
 
 
-def execute(spark: SparkSession, given: Any, store: Any, catalog: Catalog | None = None) -> dict[str, Any]:
+def pre_flight(spark: SparkSession, op: Mapping[str, Any], catalog: Catalog) -> tuple[list[str], list[str]]:
+    """The messages of errors and of warnings about a create or an update."""
+    if op["type"] not in ("create", "update"):
+        return [], []
+    rows, values = validate.from_record(spark, op["sobject"], op.get("data", {}))
+    found = validate.validate(rows, values, catalog, op["type"]).select("severity", "message").collect()
+    said = lambda s: [r["message"] for r in found if r["severity"] == s]
+    return said("error"), said("warning")
+
+
+def likely_duplicates(spark: SparkSession, op: Mapping[str, Any], records: DataFrame, field: str = "Name") -> list[str]:
+    """Warnings about records (id, name) that a new one may repeat."""
+    term = op.get("data", {}).get(field)
+    if op["type"] != "create" or not term:
+        return []
+    probes = spark.createDataFrame([(0, str(term))], "query_id long, term string")
+    found = check_duplicates(probes, records, field).orderBy("rank").collect()
+    high, medium = ([r for r in found if r["confidence"] == c] for c in ("HIGH", "MEDIUM"))
+    out = [f"POTENTIAL DUPLICATE: Found {len(high)} high-confidence match(es):"] if high else []
+    out += [f"  {k}. {r['name']} ({r['score'] * 100:.1f}% match)" for k, r in enumerate(high, 1)]
+    return out + ([f"Possible duplicates: Found {len(medium)} medium-confidence match(es)"] if medium else [])
+
+
+def _answer(kind: str, operations: Sequence[Mapping[str, Any]], results: list[dict], errors: list[dict], warnings: list[str], plan: list[dict]) -> dict[str, Any]:
+    return {
+        "type": kind,
+        "success": not errors,
+        "results": results,
+        "errors": errors,
+        "warnings": warnings,
+        "plan": plan,
+        "ids": [{"temp_id": r["temp_id"], "record_id": r["id"], "sobject": r["sobject"]} for r in results if r["success"] and r["id"]],
+        "n_success": len(results),
+        "n_failed": len(errors),
+        "sobjects": sorted({op["sobject"] for op in operations}),
+    }
+
+
+def execute_single(spark: SparkSession, op: Mapping[str, Any], store: Any, catalog: Catalog | None = None, records: DataFrame | None = None) -> dict[str, Any]:
+    """One operation: duplicates warn, errors of the pre-flight stop it before anything is written."""
+    warnings = likely_duplicates(spark, op, records) if records is not None else []
+    lacking, more = pre_flight(spark, op, catalog) if catalog else ([], [])
+    errors = [{"message": m, "phase": "validation", "op": 0} for m in lacking]
+    results = []
+    if not errors:
+        try:
+            results.append(_run(store, op, {}))
+        except Exception as error:
+            errors.append({"message": str(error), "phase": "execution", "op": 0})
+    return _answer("single", [op], results, errors, warnings + more, [])
+
+
+def execute(spark: SparkSession, given: Any, store: Any, catalog: Catalog | None = None, cache: MetadataCache | None = None, records: Mapping[str, DataFrame] | None = None) -> dict[str, Any]:
     """Run operations on a store: level by level, then the updates that set what break points left empty.
 
-    In a level of several operations an error does not stop the others; in a level of one it stops everything.
+    With a ``cache``, metadata of the objects is ensured first, that of referred objects too if there
+    are several operations, and its catalog serves where none is given. A single operation takes
+    ``execute_single``, with the records (id, name) of its object if given. The operations of a level run
+    at the same time; in a level of several an error does not stop the others, in a level of one it stops everything.
     The operations of one call are on the driver already; bulk data goes through ``annotate`` and the sinks.
     """
     kind, operations = route(given)
+    objects = list(dict.fromkeys(op["sobject"] for op in operations))
+    if cache is not None:
+        known = [n for n in objects if n in cache.tables]
+        cache.ensure(known) if kind == "single" else cache.ensure_related(known)
+        catalog = catalog or cache.catalog
+    if kind == "single":
+        return execute_single(spark, operations[0], store, catalog, (records or {}).get(operations[0]["sobject"]))
     ops = operations_frame(spark, operations)
     relationships = get_relationships(catalog) if catalog else None
     op_levels, broken = depgraph.resolve(ops, relationships)
     by_level: dict[int, list[int]] = {}
     for r in op_levels.orderBy("level", "op").collect():
         by_level.setdefault(r["level"], []).append(r["op"])
+    plan = [{"level": k, "operations": [f"op_{n}" for n in own], "can_parallelize": len(own) > 1} for k, own in sorted(by_level.items())]
     left: dict[int, list[tuple[str, str]]] = {}
     for r in broken.collect():
         left.setdefault(r["to_op"], []).append((r["field"], operations[r["to_op"]]["data"][r["field"]]))
     results, errors, ids, made, stopped = [], [], {}, {}, False
+
+    def run(k: int) -> dict[str, Any] | Exception:
+        try:
+            return _run(store, operations[k], ids, [f for f, _ in left.get(k, ())])
+        except Exception as error:
+            return error
+
     for level in sorted(by_level):
-        for k in by_level[level]:
-            try:
-                done = _run(store, operations[k], ids, [f for f, _ in left.get(k, ())])
-                results.append(done)
-                made[k] = done["id"]
-                if done["temp_id"]:
-                    ids.setdefault(done["temp_id"], done["id"])
-            except Exception as error:
-                errors.append({"message": str(error), "phase": "execution", "op": k})
-                stopped = len(by_level[level]) == 1
+        own = by_level[level]
+        with ThreadPoolExecutor(min(len(own), AT_ONCE)) as pool:
+            outcomes = list(pool.map(run, own))
+        for k, done in zip(own, outcomes):
+            if isinstance(done, Exception):
+                errors.append({"message": str(done), "phase": "execution", "op": k})
+                stopped = len(own) == 1
+                continue
+            results.append(done)
+            made[k] = done["id"]
+            if done["temp_id"]:
+                ids.setdefault(done["temp_id"], done["id"])
         if stopped:
             break
     for k, fields in left.items():
         if k in made and not stopped:
             results.append(_run(store, {**operations[k], "type": "update", "record_id": made[k], "data": dict(fields)}, ids))
-    return {
-        "type": kind,
-        "success": not errors,
-        "results": results,
-        "errors": errors,
-        "ids": [{"temp_id": r["temp_id"], "record_id": r["id"], "sobject": r["sobject"]} for r in results if r["success"] and r["id"]],
-        "n_success": len(results),
-        "n_failed": len(errors),
-        "sobjects": sorted({op["sobject"] for op in operations}),
-    }
+    return _answer(kind, operations, results, errors, [], plan)

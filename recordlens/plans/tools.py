@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import require_data, require_object_name
 from ..operators import catalog as C
 from ..sources import search, sinks
+from .orchestrate import pre_flight
 
 
 class ToolError(Exception):
@@ -33,6 +35,12 @@ class Tools:
     def _key(self, name: str) -> str:
         return self.keys.get(require_object_name(name), "Id")
 
+    def _pre_flight(self, kind: str, object: str, data: Mapping[str, Any]) -> None:
+        if C.get_object(self.catalog, require_object_name(object)).limit(1).count():
+            errors, _ = pre_flight(self.spark, {"type": kind, "sobject": object, "data": require_data(data)}, self.catalog)
+            if errors:
+                raise ValueError("; ".join(errors))
+
     def query(self, query: str) -> DataFrame:
         return search.query(self.spark, query)
 
@@ -40,12 +48,15 @@ class Tools:
         return search.get_record(self.spark, object, self._key(object), id, fields)
 
     def create_record(self, object: str, data: Mapping[str, Any]) -> DataFrame:
-        """The table with one more record; what ``data`` lacks is null."""
+        """The table with one more record; what ``data`` lacks is null. Objects that the catalog knows are validated first."""
+        self._pre_flight("create", object, data)
         table = self.spark.table(require_object_name(object))
         row = self.spark.range(1).select(*[F.lit(require_data(data).get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema.fields])
         return table.unionByName(row)
 
     def update_record(self, object: str, id: Any, data: Mapping[str, Any]) -> DataFrame:
+        """The table with a record's new values. Objects that the catalog knows are validated first."""
+        self._pre_flight("update", object, data)
         table, key = self.spark.table(require_object_name(object)), self._key(object)
         data = {**require_data(data)}
         kinds = {f.name: f.dataType for f in table.schema.fields}
@@ -75,11 +86,12 @@ class Tools:
 
     def sync_metadata(self, objects: list[str] | None = None) -> DataFrame:
         names = objects or [t.name for t in self.spark.catalog.listTables()]
-        self.catalog = C.sync(self.spark, self.catalog, {n: self.spark.table(n) for n in names})
-        return self.sync_stats()
+        """Describe the tables, and the organization. Returns what became of each table."""
+        self.catalog, report = C.sync_each(self.spark, C.sync_org(self.spark, self.catalog), {n: partial(self.spark.table, n) for n in names})
+        return report
 
     def sync_stats(self) -> DataFrame:
-        return C.stats(self.catalog)
+        return C.full_stats(self.catalog)
 
     def call(self, name: str, arguments: Mapping[str, Any] | None) -> Any:
         if arguments is None:

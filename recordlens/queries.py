@@ -20,6 +20,7 @@ from .operators import depgraph as G
 from .operators import freshness as A
 from .operators import matching as M
 from .operators import validate as V
+from .plans.cache import MetadataCache
 from .sources import search as Q
 from .sources import sinks
 from .sources.tables import REFERENCES, TABLES, table
@@ -195,10 +196,36 @@ def _strategy_query(name: str, strategy: str) -> None:
     query(f"{_MATCH} SELECT query_id, id FROM capped WHERE k = {M.STRATEGIES.index(strategy)}")(run)
 
 
-for _s in M.STRATEGIES:
+for _s in M.STRATEGIES[:-1]:
     _strategy_query(f"match_{_s}", _s)
 
 
+# Suppliers as firms: every row a record, and a probe for each whose suffix is written out.
+
+_FIRMS = "SELECT s_suppkey::BIGINT AS id, s_name || CASE s_suppkey % 3 WHEN 0 THEN ' Corp' WHEN 1 THEN ' inc' ELSE ' Ltd' END AS name FROM supplier"
+_FIRM_PROBES = "SELECT s_suppkey::BIGINT AS query_id, replace(upper(s_name), 'U', 'Ü') || CASE s_suppkey % 3 WHEN 0 THEN ' CORPORATION' WHEN 1 THEN ' Incorporated' ELSE ' limited' END AS term FROM supplier"
+_FIRM_MATCH = f"WITH {O.matches(_FIRM_PROBES, _FIRMS)} "
+
+
+def _firms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    suppliers = table(spark, sf_dir, "supplier")
+    suffix = lambda *to: F.element_at(F.array(*map(F.lit, to)), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    key = F.col("s_suppkey").cast("long")
+    probes = suppliers.select(key.alias("query_id"), F.concat(F.replace(F.upper("s_name"), F.lit("U"), F.lit("Ü")), suffix(" CORPORATION", " Incorporated", " limited")).alias("term"))
+    return probes, suppliers.select(key.alias("id"), F.concat("s_name", suffix(" Corp", " inc", " Ltd")).alias("name"))
+
+
+@query(f"{_FIRM_MATCH} SELECT query_id, id FROM capped WHERE k = {M.STRATEGIES.index('normalized')}")
+def match_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.candidates(*M.prepare(*_firms(spark, sf_dir)), M.Search(per_strategy=20))
+    return found.where(F.array_contains("matched_by", "normalized")).select("query_id", "id")
+
+
+@query(f"{_FIRM_MATCH} SELECT query_id, rank, id, confidence FROM graded WHERE rank <= 10 AND confidence IN ('HIGH', 'MEDIUM')")
+def find_duplicates_of_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.find_duplicates(*_firms(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "confidence")
+
+
 @query(f"{_MATCH} SELECT query_id, id, matched_by, round(base_score, 9) AS base_score, round(score, 9) AS score, confidence FROM graded")
 def match_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.scored(*M.prepare(*_probes_and_records(spark, sf_dir)))
@@ -278,6 +305,18 @@ def search_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(found["nation"].select(F.lit("nation").alias("object"), F.col("n_nationkey").cast("long").alias("key")))
 
 
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e')")
+def search_name_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return Q.search(spark, "FIND {*e*} IN NAME FIELDS RETURNING part(p_partkey)")["part"]
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#23' OR lower(p_name) = 'brand#23' OR lower(p_type) = 'brand#23' ORDER BY p_partkey LIMIT 7")
+def search_exact_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return Q.search(spark, "FIND {Brand#23} IN ALL FIELDS RETURNING part(p_partkey) LIMIT 7")["part"]
+
+
 # The catalog, made from the schemas of the tables and declared references.
 
 
@@ -333,6 +372,24 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.cache_stats(synced, F.lit(events.agg(F.max("ts")).first()[0]))
 
 
+@query(f"SELECT 14::BIGINT AS total_objects, 0::BIGINT AS core_objects_cached, 3600000::BIGINT AS ttl_ms, 1.0::DOUBLE AS ttl_hours, (SELECT count(*) FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + f")) AS total_fields, {len(REFERENCES)}::BIGINT AS total_relationships")
+def cache_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _catalog(spark, sf_dir)
+    return A.cache_totals(catalog["sobjects"], catalog["fields"], catalog["relationships"], F.lit("2024-01-02").cast("timestamp"), 3600000)
+
+
+@query("SELECT name FROM (VALUES ('lineitem'), ('orders'), ('part'), ('supplier'), ('customer'), ('nation')) x(name) UNION ALL SELECT 'again: lineitem' UNION ALL SELECT 'refreshed: orders'")
+def cache_ensure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache takes for an object and two steps of references, a day later for another, and when it is told to."""
+    at = ["2024-01-01 00:00:00"]
+    cache = MetadataCache(spark, {t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "supplier", "customer", "nation")}, REFERENCES, now=lambda: at[0])
+    names = cache.ensure_related(["lineitem"], 2)
+    names += cache.ensure(["lineitem", "orders"])
+    at[0] = "2024-01-02 00:00:01"
+    names += [f"again: {n}" for n in cache.ensure(["lineitem"])] + [f"refreshed: {n}" for n in cache.refresh(["orders"])]
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
 @query(f"WITH RECURSIVE e(a, f, b) AS (VALUES {_RELS}), r(name, steps) AS (SELECT 'lineitem', 0 UNION SELECT b, steps + 1 FROM r JOIN e ON a = name WHERE steps < 3) SELECT name, min(steps) AS steps FROM r GROUP BY name")
 def related_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rels = C.get_relationships(_catalog(spark, sf_dir)).select("from_sobject", "to_sobject")

@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +19,13 @@ _OBJECT = re.compile(r"\s*([A-Za-z]\w*)\s*(?:\(([^)]*)\))?\s*(?:,|$)")
 
 @dataclass(frozen=True)
 class Find:
-    """A parsed FIND statement. ``mode`` is exact, prefix, wildcard or fuzzy."""
+    """A parsed FIND statement. ``mode`` is exact, prefix, wildcard or fuzzy; ``scope`` is all or name."""
 
     term: str
     mode: str
     objects: tuple[tuple[str, tuple[str, ...]], ...]
     limit: int | None
+    scope: str = "all"
 
 
 def parse_find(statement: str) -> Find:
@@ -36,17 +38,22 @@ def parse_find(statement: str) -> Find:
     mode = "fuzzy" if like else "wildcard" if starts else "prefix" if ends else "exact"
     core = re.sub(r"^\*", "", re.sub(r"(?<!\\)[*~]$", "", raw))
     objects = tuple((name, tuple(c.strip() for c in (cols or "").split(",") if c.strip())) for name, cols in _OBJECT.findall(m["objects"] or "") if name)
-    return Find(re.sub(r"\\(.)", r"\1", core), mode, objects, int(m["limit"]) if m["limit"] else None)
+    return Find(re.sub(r"\\(.)", r"\1", core), mode, objects, int(m["limit"]) if m["limit"] else None, (m["scope"] or "all").lower())
 
 
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def searched_columns(df: DataFrame, scope: str) -> list[str]:
+    """The text columns that a scope covers: all, or those that are a name by their own name."""
+    return [c for c in text_columns(df) if scope == "all" or c.lower().endswith("name")]
+
+
 def search_object(df: DataFrame, find: Find, columns: Sequence[str] = ()) -> DataFrame:
-    """Rows of which a text field meets the term, ignoring case; the limit takes the first by all columns asked for."""
+    """Rows of which a text field in scope meets the term, ignoring case; the limit takes the first by all columns asked for."""
     term = find.term.lower()
-    fields = [F.lower(F.col(c)) for c in text_columns(df)]
+    fields = [F.lower(F.col(c)) for c in searched_columns(df, find.scope)]
     if not fields or not term:
         return df.limit(0)
     if find.mode == "prefix":
@@ -71,7 +78,7 @@ def search(spark: SparkSession, statement: str) -> dict[str, DataFrame]:
 def query(spark: SparkSession, statement: str) -> DataFrame:
     try:
         return spark.sql(require_query(statement))
-    except ValueError as error:
+    except (ValueError, PySparkException) as error:
         raise ValueError(f"Query execution failed: {error}") from error
 
 

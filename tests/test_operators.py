@@ -211,7 +211,7 @@ def test_tools(spark):
     assert tools.call("delete_record", {"object": "Firm", "id": 2}).count() == 1
     assert tools.call("describe_object", {"object": "Firm"}).count() == 3
     assert tools.call("search", {"search_string": "FIND {ac*} RETURNING Firm(Id)"})["Firm"].first().Id == 1
-    assert tools.call("sync_metadata", {"objects": ["Firm"]}).first().fields == 3
+    assert tools.call("sync_metadata", {"objects": ["Firm"]}).first().n_fields == 3
     assert tools.call("test_connection", {}).first().success and tools.call("limits", {}).count() == 3
     for name, args, code in (("nope", {}, "UNKNOWN_TOOL"), ("query", None, "INVALID_INPUT"), ("query", {"query": ""}, "VALIDATION_ERROR")):
         with pytest.raises(ToolError) as e:
@@ -229,3 +229,76 @@ def test_stream(spark, tmp_path):
     once = intake.without_repeats(stream, ["query_id"], "t", "10 minutes")
     intake.match_stream(once, records(spark), lambda df, n: seen.extend(df.collect()), str(tmp_path / "ckpt"), M.Search(min_confidence="HIGH")).awaitTermination()
     assert [(r.query_id, r.name) for r in seen if r["rank"] == 1] == [(1, "Acme Corp")]
+
+
+def test_search_scope_and_errors(spark):
+    spark.createDataFrame([(1, "Acme", "x"), (2, "Beta", "acme")], "Id long, FirmName string, Note string").createOrReplaceTempView("Scoped")
+    assert [r.Id for r in Q.search(spark, "FIND {acme} IN NAME FIELDS RETURNING Scoped(Id)")["Scoped"].collect()] == [1]
+    assert sorted(r.Id for r in Q.search(spark, "FIND {acme} IN ALL FIELDS RETURNING Scoped(Id)")["Scoped"].collect()) == [1, 2]
+    with pytest.raises(ValueError, match="Query execution failed"):
+        Q.query(spark, "SELECT nothing FROM no_such_table")
+
+
+def firm_catalog(spark):
+    c = C.put(C.empty(spark), "sobjects", spark.createDataFrame([("Firm", True, True)], "name string, is_createable boolean, is_updateable boolean"))
+    pick = [{"label": "One", "value": "1"}]
+    return C.put(c, "fields", spark.createDataFrame([("Firm", "Name", "Name", "string", 10, True, None), ("Firm", "Kind", "Kind", "picklist", None, False, pick)], f"sobject string, name string, label string, type string, length int, is_required boolean, picklist_values {C.PICKLIST}"))
+
+
+def test_single_operations_are_checked(spark):
+    c, store = firm_catalog(spark), O.MemoryStore()
+    known = spark.createDataFrame([(1, "Acme Corp"), (2, "Other")], "id long, name string")
+    out = O.execute(spark, {"type": "create", "sobject": "Firm", "data": {"Name": "Acme Corp", "Kind": "1", "More": 2}}, store, c, records={"Firm": known})
+    assert out["success"] and out["warnings"][0].startswith("POTENTIAL DUPLICATE: Found 1") and "100.0% match" in out["warnings"][1] and any("More" in w for w in out["warnings"])
+    out = O.execute(spark, {"type": "create", "sobject": "Firm", "data": {"Kind": 1}}, store, c)
+    assert not out["success"] and not out["results"] and len(store.records["Firm"]) == 1
+    assert {e["phase"] for e in out["errors"]} == {"validation"} and any("picklist" in e["message"] for e in out["errors"]) and any("missing" in e["message"] for e in out["errors"])
+    assert not O.execute(spark, {"type": "update", "sobject": "Firm", "record_id": "1", "data": {"Name": "x" * 11}}, store, c)["success"]
+    assert not O.execute(spark, {"type": "create", "sobject": "Unknown", "data": {}}, store, c)["success"]
+
+
+def test_levels_run_with_a_plan_and_ensured_metadata(spark):
+    from recordlens.plans.cache import MetadataCache
+
+    at = ["2024-01-01 00:00:00"]
+    a, b = spark.createDataFrame([], "Id long, Name string"), spark.createDataFrame([], "Id long, Account long")
+    cache = MetadataCache(spark, {"Account": a, "Contact": b, "Broken": lambda: spark.table("no_such_table")}, {("Contact", "Account"): ["Account"]}, now=lambda: at[0])
+    out = O.execute(spark, [{"type": "create", "sobject": "Contact", "data": {"Account": "@a"}}, {"type": "create", "sobject": "Account", "temp_id": "@a", "data": {"Name": "x"}}, {"type": "create", "sobject": "Account", "data": {"Name": "y"}}], O.MemoryStore(), cache=cache)
+    assert out["success"] and [(p["operations"], p["can_parallelize"]) for p in out["plan"]] == [(["op_1", "op_2"], True), (["op_0"], False)]
+    assert cache.is_cached("Account") and cache.is_cached("Contact") and cache.age_ms("Account") == 0 and cache.age_ms("Nothing") is None
+    stats = cache.stats().first()
+    assert (stats.total_objects, stats.core_objects_cached, stats.total_fields, stats.total_relationships) == (2, 2, 4, 1)
+    at[0] = "2024-01-02 01:00:00"
+    assert not cache.is_cached("Account") and cache.initialize() == ["Account", "Contact"] and cache.initialize() == []
+    cache.set_ttl(10)
+    assert cache.refresh() == ["Account", "Contact"] and cache.ensure(["Broken"]) == ["Broken"] and not cache.is_cached("Broken")
+    with pytest.raises(ValueError):
+        cache.ensure(["Nothing"])
+    cache.clear()
+    assert cache.stats().first().total_objects == 0
+
+
+def test_catalog_of_an_organization_and_reports(spark):
+    c = C.sync_org(spark, C.sync_org(spark, C.empty(spark), "first", "One"), "second", "Two", "2024-01-01")
+    assert [(r.org_id, r.org_name) for r in C.get_org(c).collect()] == [("second", "Two")]
+    c, report = C.sync_each(spark, c, {"good": spark.range(1), "bad": lambda: spark.table("no_such_table")})
+    assert {(r.object, r.success, r.n_fields, r.error is None) for r in report.collect()} == {("good", True, 1, True), ("bad", False, 0, False)}
+    full = C.full_stats(c).first()
+    assert (full.sobjects, full.org_id) == (1, "second") and C.full_stats(C.empty(spark)).first().org_id is None
+    assert C.get_org(C.clear(c)).count() == 1
+
+
+def test_tools_validate_what_the_catalog_knows(spark):
+    spark.createDataFrame([(1, "Acme")], "Id long, Name string").createOrReplaceTempView("Firm2")
+    tools = Tools(spark)
+    assert tools.call("sync_metadata", {"objects": ["Firm2", "NoSuchTable"]}).where("success").count() == 1
+    assert tools.call("sync_stats", {}).first().fields == 2
+    assert tools.call("create_record", {"object": "Firm2", "data": {"Id": 2, "Name": "B"}}).count() == 2
+    with pytest.raises(ToolError, match="expects type"):
+        tools.call("update_record", {"object": "Firm2", "id": 1, "data": {"Name": 5}})
+    spark.catalog.dropTempView("Firm2")
+
+
+def test_formatted_matches_show_further_fields():
+    rows = [{"name": "Acme", "id": 1, "confidence": "HIGH", "score": 1.0, "matched_by": ["exact"], "Phone": "1", "Site": None}]
+    assert "   Phone: 1\n" in M.format_matches(rows, ("Phone", "Site", "Other"))
