@@ -33,6 +33,8 @@ SEED = 20240607
 BUCKET_BYTES = 4 << 20
 #: Buckets that a task shuffles, one after another, about.
 TASK_BUCKETS = 4
+#: Tasks at most: beyond, a task shuffles more buckets, still one after another.
+MOST_TASKS = 200_000
 #: How often the average a bucket may hold before it is looked through for copies.
 OVERFULL = 4
 #: Buckets of a stretch: starts are summed within stretches, then over them.
@@ -103,7 +105,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     rows, sizes = _scattered(rows, _sizes(rows), buckets, bucket_bytes, seed)
     starts = scratch.cut(_starts(sizes), "starts")
     rows = rows.drop("_size", "_tie2")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // TASK_BUCKETS)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, buckets // TASK_BUCKETS))
     # One shuffle of the texts: the small table of starts comes to the buckets, where they are shuffled.
     dealt = rows.repartition(tasks, "_bucket").join(starts.hint("shuffle_hash"), "_bucket")
     schema = T.StructType([*dealt.schema.fields, T.StructField("_place", T.LongType())])
