@@ -88,6 +88,8 @@ WORDS = f"{NUMBERS}|(?:{_BEFORE})?{PART}"
 #: Networks whose addresses stay in them: first address and number of addresses. All others are one space.
 NETWORKS = ((10 << 24, 1 << 24), (127 << 24, 1 << 24), ((169 << 24) + (254 << 16), 1 << 16), ((172 << 24) + (16 << 16), 1 << 20), ((192 << 24) + (168 << 16), 1 << 16))
 
+#: Mentions for each task that draws surrogates, about, once there are more than the usual number of tasks would draw.
+TASK_ENTITIES = 50_000
 #: Draws after which collisions that remain are an error.
 DRAWS = 40
 
@@ -263,10 +265,17 @@ def mentions(found: DataFrame) -> DataFrame:
     return numbers.unionByName(words.select("id", "at", "token", kinds.alias("kind"), "value"))
 
 
-def surrogates(found: DataFrame, key: str) -> DataFrame:
+def _tasks(found: DataFrame) -> int:
+    """Over how many tasks mentions are worked on: they take much longer than their few bytes suggest, so tasks don't go by bytes."""
+    return max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.count() // TASK_ENTITIES)
+
+
+def surrogates(found: DataFrame, key: str, tasks: int) -> DataFrame:
     """kind, value and surrogate of all entities, without collisions. Each round is a written table."""
     now, seen = found.select("kind", "value").distinct().withColumn("draw", F.lit(0)), None
     for _ in range(DRAWS):
+        # By a hash of its own: Spark would drop a shuffle by the columns that it has just grouped by.
+        now = now.repartition(tasks, F.xxhash64("kind", "value"))
         now = scratch.cut(now.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("draw"))), "surrogates", instead=seen)
         owner = now.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
         real = now.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
@@ -284,17 +293,19 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     columns = [c for c in docs.columns if c.lower() != "n_entities"]
     has, named = has_entity(F.col("text")), titled(F.col("text"))
     without = docs.where(~has).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("n_entities"))
-    found = lambda pattern: F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(0))
+    all_of = lambda pattern: F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(0))
     some = docs.where(has).select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
         F.monotonically_increasing_id().alias("id"),
-        F.when(named, found(WORDS)).otherwise(found(NUMBERS)).alias("tokens"),
+        F.when(named, all_of(WORDS)).otherwise(all_of(NUMBERS)).alias("tokens"),
         F.when(named, F.split("text", WORDS, -1)).otherwise(F.split("text", NUMBERS, -1)).alias("between"),
-        F.when(named, found(NAME)).otherwise(F.array()).cast("array<string>").alias("names"),
+        F.when(named, all_of(NAME)).otherwise(F.array()).cast("array<string>").alias("names"),
     )
     some = scratch.cut(some, "entities")  # what is written once has ids that stay
     each = scratch.cut(mentions(some.select("id", "tokens", "names")), "mentions")
-    new = each.join(surrogates(each, key), ["kind", "value"]).select("id", F.struct("at", rendered(F.col("token"), F.col("kind"), F.col("surrogate")).alias("new")).alias("one"))
+    tasks = _tasks(each)
+    found = each.join(surrogates(each, key, tasks), ["kind", "value"]).repartition(tasks, "id")
+    new = found.select("id", F.struct("at", rendered(F.col("token"), F.col("kind"), F.col("surrogate")).alias("new")).alias("one"))
     new = new.groupBy("id").agg(F.map_from_entries(F.collect_list("one")).alias("new"), F.count("*").alias("n"))
     rows = some.join(new.hint("shuffle_hash"), "id", "left")
     put = F.transform("between", lambda s, i: F.concat(s, F.coalesce(F.try_element_at("new", i), F.get("tokens", i), F.lit(""))))
