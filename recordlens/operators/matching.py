@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import similarity as S
+from ..sources.tables import written
 
 STRATEGIES = ("exact", "prefix", "wildcard", "fuzzy", "normalized")
 HIGH, MEDIUM = 0.95, 0.75
@@ -83,6 +84,15 @@ def _probes(probes: DataFrame, id_column: str, term_column: str, options: N.Opti
     return out.where("trim(term) <> ''")
 
 
+def _here(value: Column) -> Column:
+    """The value, computed once and where it stands.
+
+    A column that depends on the task is neither pushed below joins and aggregations, where it
+    would be computed for every shared trigram, nor repeated in the expressions that use it. The value does not change.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _pieces(text: Column) -> Column:
     """All distinct pieces of up to ``KEY`` characters."""
 
@@ -119,8 +129,8 @@ def fuzzy(probes: DataFrame, records: DataFrame, above: float = FUZZY, weights:
     pairs = p.join(r, "gram").groupBy("term_norm", "norm", "m", "n").agg(F.count("*").alias("shared"))
     most = w["levenshtein"] * S.levenshtein_similarity(F.col("term_norm"), F.col("norm")) + w["jaro_winkler"] + w["trigram"] * 2 * F.col("shared") / (F.col("m") + F.col("n")) + w["soundex"]
     tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.where(most > above - 1e-9).select("term_norm", "norm").repartition(tasks, "term_norm", "norm")
-    near = pairs.where(S.composite_score(F.col("term_norm"), F.col("norm"), weights) > above)
+    pairs = pairs.where(_here(most > above - 1e-9)).select("term_norm", "norm").repartition(tasks, "term_norm", "norm")
+    near = pairs.where(_here(S.composite_score(F.col("term_norm"), F.col("norm"), weights) > above))
     return near.join(probes.select("query_id", "term_norm"), "term_norm").join(records.select("id", "norm"), "norm").select("query_id", "id")
 
 
@@ -145,14 +155,15 @@ def candidates(probes: DataFrame, records: DataFrame, search: Search = Search())
 
 
 def prepare(probes: DataFrame, records: DataFrame, search: Search = Search(), probe_id: str = "query_id", term: str = "term", record_id: str = "id", name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Probes and records as the strategies read them, each normalized once, into written tables: every strategy reads them."""
     options = N.options_for(search.field)
-    return _probes(probes, probe_id, term, options), _records(records, record_id, name, options)
+    return written(_probes(probes, probe_id, term, options), "probes"), written(_records(records, record_id, name, options), "records")
 
 
 def scored(probes: DataFrame, records: DataFrame, search: Search = Search()) -> DataFrame:
     """All candidates with base_score, score (boosted) and confidence."""
     rows = candidates(probes, records, search).join(probes.select("query_id", "term_norm"), "query_id").join(records.select("id", "name", "norm"), "id")
-    rows = rows.withColumn("base_score", S.composite_score(F.col("term_norm"), F.col("norm"), search.weights))
+    rows = rows.withColumn("base_score", _here(S.composite_score(F.col("term_norm"), F.col("norm"), search.weights)))
     rows = rows.withColumn("score", boosted(F.col("base_score"), F.col("matched_by")))
     return rows.withColumn("confidence", confidence(F.col("score")))
 
