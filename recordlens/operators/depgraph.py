@@ -15,6 +15,10 @@ from ..sources.tables import written
 SCHEMA = "op long, type string, sobject string, temp_id string, record_id string, data map<string,string>"
 
 
+#: Operations up to which reachability is closed: at most the square of it in rows.
+CLOSED = 2000
+
+
 class UnbreakableCycle(ValueError):
     """A cycle in which no reference may be left empty at first."""
 
@@ -48,12 +52,21 @@ def _peeled(links: DataFrame) -> DataFrame:
     return now
 
 
-def cycles(links: DataFrame) -> DataFrame:
-    """op and cycle (its smallest member) of all operations on a cycle: the strongly connected components of more than one node, and loops.
+def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """op and label: the least label of all operations (op, label) from which links lead there, its own included.
 
-    Reachability is closed by doubling paths, among what peeling leaves only.
+    Only operations whose label became less hand it on, so a round costs what changed; rows are never more than the operations.
     """
-    rest = _peeled(links)
+    now = written(labels.select("op", "label", F.lit(True).alias("changed")), "labels")
+    while now.where("changed").limit(1).count():
+        offered = now.where("changed").join(links, F.col("op") == F.col("from_op")).groupBy(F.col("to_op").alias("op")).agg(F.min("label").alias("offer"))
+        less = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
+        now = written(now.join(offered, "op", "left").select("op", F.when(less, F.col("offer")).otherwise(F.col("label")).alias("label"), less.alias("changed")), "labels")
+    return now.select("op", "label")
+
+
+def _closed(rest: DataFrame) -> DataFrame:
+    """op and cycle, by paths that double in length: few rounds, but a row for each pair of operations that one leads to the other."""
     reach, size = rest, rest.count()
     while size:
         more = reach.alias("a").join(reach.alias("b"), F.col("a.to_op") == F.col("b.from_op")).select("a.from_op", "b.to_op")
@@ -66,6 +79,42 @@ def cycles(links: DataFrame) -> DataFrame:
     return mutual.select(F.col("a.from_op").alias("op"), F.col("a.to_op").alias("other")).groupBy("op").agg(F.min("other").alias("cycle"))
 
 
+def _colored(rest: DataFrame) -> DataFrame:
+    """op and cycle, by labels: no more rows than operations and links, but a round for each step of the longest way.
+
+    Every operation takes the least operation that leads to it. Those with one label that lead
+    back to it are its component; no cycle has two labels, so the rest goes on without them and without links between labels.
+    """
+    found = rest.where("false").select(F.col("from_op").alias("op"), F.col("from_op").alias("cycle"))
+    while rest.limit(1).count():
+        nodes = rest.select(F.col("from_op").alias("op")).union(rest.select("to_op")).distinct()
+        colors = _spread(nodes.withColumn("label", F.col("op")), rest)
+        a, b = colors.select(F.col("op").alias("from_op"), "label"), colors.select(F.col("op").alias("to_op"), F.col("label").alias("other"))
+        inner = written(rest.join(a, "from_op").join(b, "to_op").where("label = other").select("from_op", "to_op"), "inner")
+        away = colors.select("op", F.when(F.col("op") == F.col("label"), 0).otherwise(1).alias("label"))
+        back = _spread(away, inner.select(F.col("to_op").alias("from_op"), F.col("from_op").alias("to_op"))).where("label = 0").select("op")
+        settled = written(back.join(colors.withColumnRenamed("label", "cycle"), "op"), "settled")
+        # A node between cycles may settle alone; it is on a cycle only if it refers to itself.
+        loops = inner.where("from_op = to_op").select(F.col("from_op").alias("op")).distinct().withColumn("loop", F.lit(True))
+        large = settled.groupBy("cycle").agg(F.count("*").alias("n"))
+        found = found.unionByName(settled.join(large, "cycle").join(loops, "op", "left").where("n > 1 OR loop").select("op", "cycle"))
+        gone = settled.select("op")
+        left = inner.join(gone.withColumnRenamed("op", "from_op"), "from_op", "left_anti").join(gone.withColumnRenamed("op", "to_op"), "to_op", "left_anti")
+        rest = _peeled(left)
+    return found
+
+
+def cycles(links: DataFrame, closed: int = CLOSED) -> DataFrame:
+    """op and cycle (its smallest member) of all operations on a cycle: the strongly connected components of more than one node, and loops.
+
+    Both ways are exact. Reachability is closed where what peeling leaves has at most ``closed`` operations, so that its square
+    bounds the rows; beyond it labels are spread.
+    """
+    rest = _peeled(links)
+    n = rest.select("from_op").distinct().count()  # peeling leaves every operation a link out
+    return _closed(rest) if n <= closed else _colored(rest)
+
+
 def break_points(links: DataFrame, relationships: DataFrame) -> DataFrame:
     """One link of each cycle that may be empty at first: cycle, from_op, to_op, field, strategy.
 

@@ -156,6 +156,15 @@ def ring(n, required=()):
     return [{"type": "create", "sobject": f"S{k}", "temp_id": f"@{k}", "data": {"next": f"@{(k + 1) % n}"}} for k in range(n)]
 
 
+@pytest.mark.parametrize("closed", [0, 2000])
+def test_cycles_are_the_strongly_connected_components(spark, closed):
+    # Two rings joined by a node smaller than either, a loop, a chain, and a repeated link.
+    links = [(5, 6), (6, 7), (7, 5), (7, 1), (1, 8), (8, 9), (9, 8), (9, 8), (3, 3), (9, 3), (10, 11), (11, 12)]
+    got = {r.op: r.cycle for r in G.cycles(spark.createDataFrame(links, "from_op long, to_op long"), closed).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8, 9: 8, 3: 3}
+    assert G.cycles(spark.createDataFrame([(1, 2), (2, 3)], "from_op long, to_op long"), closed).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_cycles_are_broken_or_refused(spark, n):
     ops = O.operations_frame(spark, ring(n))
