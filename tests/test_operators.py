@@ -106,6 +106,22 @@ def test_verdicts_and_sinks(spark):
     assert sinks.deleted(wide, wide.where("row_id = 1"), "row_id").count() == 1
 
 
+def test_reference_to_a_record_numbered_zero(spark):
+    objects = spark.createDataFrame([("doc",), ("label",)], "name string")
+    fields = spark.createDataFrame([("doc", "of", "Of", "reference", ["label"])], "sobject string, name string, label string, type string, reference_to array<string>")
+    known = C.put(C.put(C.empty(spark), "sobjects", objects), "fields", fields)
+    known = C.put(known, "relationships", C.relationships_from(known["fields"], known["sobjects"]))
+    big = 2**53
+    docs = spark.createDataFrame(list(enumerate([0, 1, None, big, big + 1, -5])), "k long, of long")
+
+    def lost(keys, kind="long"):
+        labels = spark.createDataFrame([(k,) for k in keys], f"id {kind}")
+        return {(r.row_id, r.message) for r in V.check_references(V.long_form(docs, "k", "doc"), known, {"label": (labels, "id")}).collect()}
+
+    assert lost([1, big + 1, None]) == {(k, f"No label record with ID '{v}'.") for k, v in ((0, 0), (3, big), (5, -5))}
+    assert {k for k, _ in lost([0.0, 1.0, -5.0], "double")} == {3, 4}
+
+
 def test_catalog(spark):
     c = catalog(spark)
     rels = {(r.from_sobject, r.field_name): r.to_sobject for r in C.get_relationships(c).collect()}
