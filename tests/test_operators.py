@@ -43,6 +43,34 @@ def test_fuzzy_blocking_loses_nothing(spark):
     assert got == want
 
 
+def test_first_fuzzy_candidates_are_the_smallest_of_all(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROWTH", 2)
+    monkeypatch.setattr(M, "CROSSED", 6)
+    texts = [f"{a} {b}" for a in ("red", "read", "bred", "blue", "x") for b in ("anvil", "anvl", "bolt", "bold")]
+    rows = spark.createDataFrame([(k * 7 % 61, texts[k * k % 20]) for k in range(61)], "id long, name string")
+    p, r = M.prepare(rows.select(F.col("id").alias("query_id"), F.col("name").alias("term")), rows)
+    near = {}
+    for x in sorted(M.fuzzy(p, r).collect()):
+        near.setdefault(x.query_id, []).append(x.id)
+    for most in (2, 5):
+        got = {(x.query_id, x.id) for x in M.fuzzy(p, r, most=most).collect()}
+        assert got == {(q, i) for q, ids in near.items() for i in ids[:most]}
+
+
+def test_alike_names_are_paired_until_enough_are_found(spark, monkeypatch):
+    monkeypatch.setattr(M, "_met", lambda *_: pytest.fail("all names are paired"))
+    rows = spark.createDataFrame([(k, f"Firm number {k:04}") for k in range(300)], "id long, name string")
+    got = M.find_duplicates(rows.select(F.col("id").alias("query_id"), F.col("name").alias("term")), rows).groupBy("query_id").count().collect()
+    assert len(got) == 300 and all(r["count"] == 10 for r in got)
+
+
+def test_one_strategy_needs_no_other(spark, monkeypatch):
+    p, r = M.prepare(probes(spark, "Acme Corporation", "m"), records(spark))
+    want = {(x.query_id, x.id) for x in M.candidates(p, r).collect() if "normalized" in x.matched_by}
+    monkeypatch.setattr(M, "fuzzy", lambda *_, **__: pytest.fail("fuzzy"))
+    assert want == {(0, 1)} == {(x.query_id, x.id) for x in M.candidates(p, r, strategies=("normalized",)).collect()}
+
+
 def test_limits_thresholds_and_duplicates(spark):
     some = probes(spark, "Cafe Industries")
     assert [r.rank for r in M.find_matches(some, records(spark), M.Search(limit=2)).collect()] == [1, 2]
