@@ -1,8 +1,9 @@
-"""Near-duplicates by Jaccard similarity: MinHash finds candidates, the texts' shingles decide.
+"""Near-duplicates by Jaccard similarity: SimHash and MinHash find candidates, the texts' shingles decide.
 
-The stage of the pipeline that keeps one of several near copies calls this instead of
-``simhash``: at a Jaccard similarity of 0.8 two 64-bit SimHash fingerprints differ in about
-10 bits, and in up to 17 for all but one pair in a hundred, which no grid of 64 bits can hold.
+The stage of the pipeline that keeps one of several near copies calls this. Candidates are what
+``simhash`` links, on fingerprints of the sets below, and what MinHash adds: at a Jaccard similarity of 0.8
+two 64-bit SimHash fingerprints differ in about 10 bits, and in up to 17 for all but one pair in a
+hundred, which no grid of 64 bits can hold. One exact check follows both.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard
 similarity of ``SIMILAR`` or more. Texts with equal sets are one node. A node has
@@ -88,7 +89,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t) for t in part.column(1).to_pylist()]
         nodes = pa.array([simhash._signed(xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED)) for s in sets], pa.int64())
         found = pa.array([keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), nodes, pa.array(map(len, sets), pa.int64()), found, part.column(1)], names=["doc_id", "digest", "node", "size", "keys", "text"])
+        prints = pa.array(map(simhash.summed, sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), nodes, pa.array(map(len, sets), pa.int64()), prints, found, part.column(1)], names=["doc_id", "digest", "node", "size", "fp", "keys", "text"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,7 @@ def verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     texts = scratch.cut(_texts(needed, signed), "texts")
     u, v = texts.select(F.col("node").alias("u"), F.col("text").alias("s")), texts.select(F.col("node").alias("v"), F.col("text").alias("t"))
     rows = pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u").select("u", "v", "s", "t")
-    return scratch.cut(rows.mapInArrow(_similar, "u long, v long"), "links")
+    return scratch.cut(rows.mapInArrow(_similar, "u long, v long"), "links", instead=texts)
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -136,6 +138,20 @@ def _may_link(a: str, b: str) -> Column:
     return F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]
 
 
+def _alike(signed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that SimHash links, of sizes that allow a link: nodes with the fingerprint's smallest, and the smallest of linked fingerprints."""
+    before = scratch.made()
+    prints = scratch.cut(signed.select("node", "size", "fp").dropDuplicates(["node"]), "prints")
+    firsts = scratch.cut(prints.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("least")), "firsts")
+    a, b = firsts.select(F.col("fp").alias("u"), F.col("least").alias("a")), firsts.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    across = simhash.links(firsts.select("fp")).join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("a", "b")
+    within = prints.join(firsts.hint("merge"), "fp").where("node <> least.node").select(F.col("least").alias("a"), F.struct("node", "size").alias("b"))
+    pairs = across.unionByName(within).where(_may_link("a", "b")).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+    out = scratch.cut(pairs.distinct(), "alike")
+    scratch.sweep(signed.sparkSession, before, keep=out)
+    return out
+
+
 def _pairs(members: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes that share a key, of sizes that allow a link."""
     a, b = members.alias("a"), members.alias("b")
@@ -165,13 +181,14 @@ def _rest(many: DataFrame, root: DataFrame, signed: DataFrame) -> DataFrame:
 
 def links(signed: DataFrame, largest: int = CELL) -> DataFrame:
     """Links (u, v) of nodes that connect all that are similar."""
+    alike = _alike(signed)
     cells = signed.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
     cells = scratch.cut(cells, "cells")
     shared = scratch.cut(cells.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "shared")
     members = scratch.cut(cells.join(shared.hint("merge"), "key"), "members", instead=cells)
     many = members.where(F.col("n") > largest)
     star = many.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    pairs = scratch.cut(_pairs(members.where(F.col("n") <= largest)).unionByName(star).distinct(), "pairs")
+    pairs = scratch.cut(_pairs(members.where(F.col("n") <= largest)).unionByName(star).unionByName(alike).distinct(), "pairs")
     found = verified(pairs, signed)
     if not many.limit(1).count():
         return found
@@ -182,9 +199,10 @@ def grouped(docs: DataFrame, largest: int = CELL) -> DataFrame:
     """doc_id, digest and root (a node, the same for all that links connect), a row for each row of ``docs``."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest"))
-    signed = scratch.cut(rows.mapInArrow(_rows, "doc_id long, digest long, node long, size long, keys array<long>, text string"), "signed")
+    signed = scratch.cut(rows.mapInArrow(_rows, "doc_id long, digest long, node long, size long, fp long, keys array<long>, text string"), "signed")
     root = scratch.cut(components.roots(links(signed, largest)), "roots")
-    return signed.select("doc_id", "digest", "node").join(root, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+    rows = signed.select("doc_id", "digest", "node").join(root, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+    return scratch.cut(rows, "grouped", instead=signed)
 
 
 def representatives(docs: DataFrame, largest: int = CELL) -> DataFrame:

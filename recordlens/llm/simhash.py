@@ -77,8 +77,12 @@ def shingles(text: str | None, words: int = SHINGLE) -> list[int]:
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     """The fingerprint of one text, as a signed long."""
-    hashes = shingles(text, words)
-    if not hashes:
+    return summed(shingles(text, words))
+
+
+def summed(hashes: list[int] | np.ndarray) -> int:
+    """The fingerprint of a text's hashes."""
+    if not len(hashes):
         return 0
     codes = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)

@@ -57,6 +57,17 @@ def test_near_copies_at_08_to_095_go(spark, largest):
     assert minhash.representatives(docs.limit(0), largest).count() == 0
 
 
+def test_simhash_gives_candidates_of_its_own(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(900)) for _ in range(3)]
+    rows = [(k, t) for k, t in enumerate([*base, *[f"{t} end" for t in base], f"{base[0]} {base[1]}"])]
+    prints = [minhash.simhash.summed(minhash.shingles(t)) for _, t in rows]
+    assert all((prints[k] ^ prints[k + 3]).bit_count() <= 4 for k in range(3))
+    monkeypatch.setattr(minhash, "_pairs", lambda members: members.select(members.node.alias("u"), members.node.alias("v")).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 1, 2, 6}
+
+
 def test_a_large_group_of_near_copies_is_met_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 40)
     rng = random.Random(13)
